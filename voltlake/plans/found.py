@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.operators.intervals import periods_and_gaps
+from voltlake.operators.outliers import faulty_traces, source_models
 from voltlake.operators.units import UnitGraph, segments_in_common_units
 from voltlake.runtime import table
 
@@ -26,6 +27,17 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces with a spike, a stuck stretch or an impossible code, but for bad channels."""
+    found = faulty_traces(table(spark, sf_dir, "snippets"), table(spark, sf_dir, "recording_meta"))
+    return found.select("snippet_id", "channel_id")
+
+
+def p2_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usual level and robust spread of every channel in every recording."""
+    return source_models(table(spark, sf_dir, "snippets")).select("recording_id", "channel_id", "n_readings", F.round("level", 6).alias("level"), F.round("spread", 6).alias("spread"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ADC range, gain, bits and scale of every complete segment in common units."""
     df = segments_in_common_units(table(spark, sf_dir, "concat_segments"), table(spark, sf_dir, "recording_meta"))
@@ -51,7 +63,7 @@ def p3_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("unit_from", "unit_to", F.round("scale", 9).alias("scale"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p3_found, p3_conversions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p2_sources, p3_found, p3_conversions)}
 
 _P1 = """
 WITH iv AS (
@@ -69,7 +81,27 @@ found AS (
 _P3_UNIT = "lower(replace(replace(regexp_replace({}, '[ _-]', '', 'g'), 'µ', 'u'), 'μ', 'u'))"
 _P3_UV = "CASE WHEN {u} IN ('v','volt','volts') THEN 1e6 WHEN {u} IN ('mv','millivolt','millivolts') THEN 1e3 WHEN {u} IN ('nv','nanovolt','nanovolts') THEN 1e-3 WHEN {u} IN ('uv','microvolt','microvolts') THEN 1 END"
 
+_P2 = """
+WITH s AS (SELECT DISTINCT ON (snippet_id) snippet_id, recording_id, adc_bits, channel_ids, data FROM snippets WHERE valid AND data IS NOT NULL ORDER BY snippet_id),
+tr AS (SELECT snippet_id, recording_id, adc_bits, unnest(channel_ids) AS channel_id, unnest(data) AS x FROM s),
+r AS (SELECT recording_id, channel_id, unnest(x)::DOUBLE AS v FROM tr),
+med AS (SELECT recording_id, channel_id, count(*) AS n_readings, median(v) AS level FROM r GROUP BY 1, 2),
+sp AS (SELECT recording_id, channel_id, 1.4826 * median(abs(v - level)) AS spread FROM r JOIN med USING (recording_id, channel_id) GROUP BY 1, 2)
+"""
+
 ORACLES = {
+    "p2_found": _P2
+    + """, bad AS (
+  SELECT recording_id, unnest(range(least(a, b), greatest(a, b) + 1)) AS channel_id FROM (
+    SELECT recording_id, CAST(string_split(e, ':')[1] AS INT) AS a, CAST(string_split(e, ':')[-1] AS INT) AS b FROM (
+      SELECT recording_id, unnest(regexp_extract_all(meta_value, '[0-9]+(:[0-9]+)?')) AS e FROM recording_meta WHERE ltrim(meta_key, '~ ') = 'badChannels'))),
+j AS (SELECT tr.*, level, spread FROM tr JOIN med USING (recording_id, channel_id) JOIN sp USING (recording_id, channel_id)
+  ANTI JOIN bad USING (recording_id, channel_id))
+SELECT DISTINCT snippet_id, channel_id FROM j
+WHERE list_min(x) < -pow(2, adc_bits - 1) OR list_max(x) > pow(2, adc_bits - 1) - 1
+  OR greatest(list_max(x) - level, level - list_min(x)) > 10 * spread
+  OR len([1 FOR i IN range(1, len(x) - 12) IF list_max(x[i:i+13]) - list_min(x[i:i+13]) <= 1]) > 0""",
+    "p2_sources": _P2 + "SELECT recording_id, channel_id, n_readings, round(level, 6) AS level, round(spread, 6) AS spread FROM med JOIN sp USING (recording_id, channel_id)",
     "p1_found": _P1 + "SELECT * FROM found",
     "p1_coverage": _P1
     + """SELECT recording_id, count(*) FILTER (kind = 'period') AS n_periods,
