@@ -5,9 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltlake.llm import quantiles
 from voltlake.llm.runs import sync_runs
 from voltlake.runtime import table
 
+PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+EPS = 0.005
+
+
+def amplitude_digests(spikes: DataFrame) -> DataFrame:
+    """Digests of ``spike_amplitude`` per recording, cluster, probe and day of loading."""
+    rows = spikes.withColumn("day", F.to_date("loaded_at"))
+    return quantiles.digests(rows, ["recording_id", "cluster_id", "probe_id", "day"], "spike_amplitude", EPS, "spike_id", "day")
+
+
+def _p4(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    daily = amplitude_digests(table(spark, sf_dir, "spikes"))
+    return quantiles.percentiles(quantiles.combine(daily, keys, EPS), keys, PROBS, with_leaves=True)
+
+
+def p4_cluster_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of spike amplitudes per recording and cluster, combined over days."""
+    return _p4(spark, sf_dir, ["recording_id", "cluster_id"]).select("recording_id", "cluster_id", "n", *PROBS)
+
+
+def p4_probe_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of spike amplitudes per probe, combined over recordings, clusters and days."""
+    return _p4(spark, sf_dir, ["probe_id"]).select("probe_id", "n", *PROBS)
+
+
+def p4_probe_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per probe and percentile: whether the reported value's true rank is within the bound."""
+    found = _p4(spark, sf_dir, ["probe_id"])
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("percentile"), F.lit(p).alias("p"), F.col(f"{k}_leaf").alias("at")) for k, p in PROBS.items())))
+    asked = F.broadcast(found.select(F.col("probe_id").alias("probe"), "n", pairs.alias("x")).select("probe", "n", "x.*"))
+    rows = table(spark, sf_dir, "spikes").select("spike_id", "probe_id", quantiles.leaf(F.col("spike_amplitude")).alias("leaf")).where("leaf is not null").distinct()
+    rows = rows.groupBy("probe_id", "leaf").count()
+    met = rows.join(asked, rows["probe_id"] == asked["probe"])
+    ranks = met.groupBy("probe_id", "n", "percentile", "p", "at").agg(F.sum(F.when(F.col("leaf") < F.col("at"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("leaf") <= F.col("at"), F.col("count")).otherwise(0)).alias("through"))
+    rank = F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("through"), F.lit(0))
+    return ranks.select("probe_id", "percentile", "n", (off <= EPS * F.col("n")).alias("within"))
+
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or more sync words that agree in all named bits."""
@@ -15,9 +54,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("recording_id", "file_ord", "band", "idx_first", "idx_last", F.col("n_events").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found)}
 
 ORACLES = {
+    "p4_probe_bound": """
+WITH s AS (SELECT DISTINCT spike_id, probe_id FROM spikes WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude)),
+p AS (SELECT probe_id, count(*) AS n FROM s GROUP BY 1)
+SELECT probe_id, percentile, n, true AS "within" FROM p, (VALUES ('p05'), ('p25'), ('p50'), ('p75'), ('p95'), ('p99')) AS v(percentile)""",
     "p5_found": """
 WITH names AS (
   SELECT recording_id, string_split_regex(min(meta_value), '[;,]') AS l FROM recording_meta
