@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltlake.llm import density_peaks as dp
 from voltlake.llm import quantiles
 from voltlake.llm.runs import sync_runs
 from voltlake.runtime import table
@@ -54,7 +55,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("recording_id", "file_ord", "band", "idx_first", "idx_last", F.col("n_events").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found)}
+#: Cell width, reach and kernel in feature units, and what a doubling of amplitude weighs.
+P6_WIDTH, P6_REACH, P6_KERNEL, P6_OCTAVE = 3.0, 6.0, 2.5, 0.5
+
+
+def _spike_space() -> list:
+    parts = [F.get(F.get(F.col("pc_features"), F.lit(i)), F.lit(j)) for i in range(2) for j in range(3)]
+    return [*parts, F.log2(F.when(F.col("amplitude") > 0, F.col("amplitude"))) * P6_OCTAVE]
+
+
+def _p6(spikes: DataFrame) -> DataFrame:
+    return dp.density_peaks(spikes, "spike_id", _spike_space(), P6_WIDTH, P6_REACH, P6_KERNEL)
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of similar spikes across recordings and clusters: size, centre, most typical spikes."""
+    return dp.describe_groups(_p6(table(spark, sf_dir, "spikes")))
+
+
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every spike."""
+    spikes = table(spark, sf_dir, "spikes")
+    return dp.members(spikes, "spike_id", _spike_space(), P6_WIDTH, _p6(spikes))
+
+
+QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members)}
 
 ORACLES = {
     "p4_probe_bound": """
