@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.llm import density_peaks as dp
-from voltlake.llm import quantiles
+from voltlake.llm import mixing, quantiles, residue, tiling
 from voltlake.llm.runs import sync_runs
 from voltlake.runtime import table
 
@@ -79,9 +79,55 @@ def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dp.members(spikes, "spike_id", _spike_space(), P6_WIDTH, _p6(spikes))
 
 
-QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a test item."""
+    return tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that leaked: number of documents concerned and longest passage, in words."""
+    found = tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return mixing.use_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of tokens per source."""
+    return mixing.report(*mixing.use_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents, and whether no document is used more often than allowed."""
+    r = p8_shares(spark, sf_dir)
+    return r.select("source", "n_docs", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture, one row for each use of a document."""
+    return mixing.copies(p8_mix(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with unfilled placeholders or filler, and error pages."""
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the classifier on hosts it wasn't trained on."""
+    return residue.validate(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members, p7_found, p7_items, p8_mix, p8_shares, p8_limits, p8_copies, p9_found, p9_validation)}
 
 ORACLES = {
+    "p8_limits": """
+WITH d AS (SELECT regexp_replace(lower(trim(source)), '[ -]+', '_', 'g') AS source, count(*) AS n_docs FROM documents GROUP BY 1)
+SELECT coalesce(d.source, t.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(max_repeats, 0) AS max_repeats, true AS within_cap
+FROM d FULL JOIN mix_targets t ON d.source = t.source""",
     "p4_probe_bound": """
 WITH s AS (SELECT DISTINCT spike_id, probe_id FROM spikes WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude)),
 p AS (SELECT probe_id, count(*) AS n FROM s GROUP BY 1)
