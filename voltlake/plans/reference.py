@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import scalars
 from voltlake.operators import channels as ch
-from voltlake.operators import curation, joins, spikes as sp, timeshift, trials as tr, waveforms as wf
+from voltlake.operators import curation, drift, joins, signal, tensor, timeshift
+from voltlake.operators import spikes as sp
+from voltlake.operators import trials as tr
+from voltlake.operators import waveforms as wf
 from voltlake.operators.outliers import bad_channels
 from voltlake.operators.units import segments_in_common_units
 from voltlake.runtime import table
@@ -493,3 +496,104 @@ def set01_accept_cutoff(spark, d):
 def flt02_mask_clusters(spark, d):
     """Spikes of some clusters, without cutoff spikes."""
     return _spikes(spark, d).where("not is_cutoff and cluster_id in (0, 2, 4)").select("spike_id", "cluster_id")
+
+
+_LONG = f"{_TC}, long AS (SELECT snippet_id, recording_id, channel_id, t, x[t]::DOUBLE AS v FROM tc, range(1, 41) g(t))"
+
+
+def _long(spark, d):
+    return wf.readings(_traces(spark, d))
+
+
+@query(f"WITH {_LONG} SELECT recording_id, channel_id, count(v) AS n, sum(v) AS total, round(avg(v), 6) AS mean, min(v) + 0 AS low, max(v) + 0 AS high, max(v) - min(v) AS spread, round(var_samp(v), 4) AS variance, bool_and(v <> 0) AS all_set, bool_or(v <> 0) AS any_set FROM long GROUP BY 1, 2")
+def agg21_reduce(spark, d):
+    """Reductions of all readings of a channel."""
+    r = tensor.reduce_dims(_long(spark, d), ["recording_id", "channel_id"])
+    return r.withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 4), "low": F.col("low") + 0, "high": F.col("high") + 0})
+
+
+@query(f"WITH {_LONG}, z AS (SELECT snippet_id, channel_id, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM long WINDOW w AS (PARTITION BY snippet_id, channel_id)) SELECT snippet_id, channel_id, round(max(z), 6) AS z_max FROM z GROUP BY 1, 2")
+def fn08_zscore(spark, d):
+    """Largest z-score within each trace."""
+    return tensor.zscore(_long(spark, d), ["snippet_id", "channel_id"]).groupBy("snippet_id", "channel_id").agg(F.round(F.max("z"), 6).alias("z_max"))
+
+
+@query(f"WITH {_LONG} SELECT snippet_id, channel_id, CAST(floor((t - 1) / 8) + 1 AS INT) AS t, round(avg(v), 6) AS v FROM long GROUP BY 1, 2, 3")
+def agg22_block_mean(spark, d):
+    """Means of eight readings at a time."""
+    return tensor.block_mean(_long(spark, d), {"t": 8}, ["snippet_id", "channel_id"]).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {_TC} SELECT snippet_id, channel_id, CAST(list_position(x, list_min(x)) AS INT) AS at_min, list_min(x)::DOUBLE + 0 AS low, CAST(list_position(x, list_max(x)) AS INT) AS at_max, list_max(x)::DOUBLE + 0 AS high FROM tc")
+def agg23_arg_extreme(spark, d):
+    """Place of the first smallest and largest reading of each trace."""
+    return tensor.arg_extreme(_long(spark, d), "t", ["snippet_id", "channel_id"]).withColumns({"low": F.col("low") + 0, "high": F.col("high") + 0})
+
+
+@query(f"WITH {_LONG} SELECT snippet_id, channel_id, sum(v * CASE WHEN t <= 20 THEN -1 ELSE 1 END) + 0 AS v FROM long GROUP BY 1, 2")
+def sig15_combine(spark, d):
+    """Second half of each trace less the first."""
+    weights = F.broadcast(spark.range(1, 41).select(F.col("id").cast("int").alias("t"), F.lit(1).alias("new"), F.when(F.col("id") <= 20, -1.0).otherwise(1.0).alias("w")))
+    return tensor.combine(_long(spark, d), weights, "t", ["snippet_id", "channel_id"]).select("snippet_id", "channel_id", (F.col("v") + 0).alias("v"))
+
+
+@query(f"WITH {_LONG}, e AS (SELECT snippet_id, channel_id, max(v) OVER (PARTITION BY snippet_id, channel_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS e FROM long) SELECT snippet_id, channel_id, count(DISTINCT e) AS n_steps FROM e GROUP BY 1, 2")
+def win06_envelope(spark, d):
+    """Steps of the non-decreasing envelope of each trace."""
+    return tensor.running_extreme(_long(spark, d), "t", ["snippet_id", "channel_id"]).groupBy("snippet_id", "channel_id").agg(F.count_distinct(F.col("envelope") + 0).alias("n_steps"))
+
+
+_DEEP = f"{_SP}, dp AS (SELECT *, (template_id * 20 + spike_id % 7)::DOUBLE AS depth FROM sp)"
+
+
+def _deep(spark, d):
+    return _spikes(spark, d).withColumn("depth", (F.col("template_id") * 20 + F.col("spike_id") % 7).cast("double"))
+
+
+_HIST = f"{_DEEP}, hist AS (SELECT recording_id, CAST(ceil(spike_time / 30000000) AS BIGINT) AS time_bin, CAST(floor(depth / 10) AS BIGINT) AS depth_bin, sum(spike_amplitude) AS weight, count(*) AS n FROM dp WHERE depth IS NOT NULL AND spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude) GROUP BY ALL)"
+
+
+@query(f"WITH {_HIST} SELECT recording_id, time_bin, depth_bin, round(weight, 4) AS weight, n FROM hist")
+def sig18_depth_histogram(spark, d):
+    """Amplitude by depth and stretch of time."""
+    return drift.depth_histogram(_deep(spark, d), 10.0, BIN).withColumn("weight", F.round("weight", 4))
+
+
+@query(f"""WITH {_HIST}, first AS (SELECT recording_id, depth_bin AS d, weight AS w FROM hist QUALIFY time_bin = min(time_bin) OVER (PARTITION BY recording_id)),
+sc AS (SELECT recording_id, time_bin, depth_bin - d AS shift, sum(weight * w) AS score FROM hist JOIN first USING (recording_id) WHERE abs(depth_bin - d) <= 4 GROUP BY ALL)
+SELECT recording_id, time_bin, shift * 10.0::DOUBLE AS offset_um FROM sc QUALIFY row_number() OVER (PARTITION BY recording_id, time_bin ORDER BY score DESC, abs(shift), shift DESC) = 1""")
+def sig18_offsets(spark, d):
+    """Shift of each stretch's depth histogram against the first."""
+    return drift.offsets(drift.depth_histogram(_deep(spark, d), 10.0, BIN), 10.0, 4)
+
+
+@query(f"""WITH {_DEEP}, u AS (SELECT recording_id, cluster_id, median(depth) AS usual FROM dp WHERE depth IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT recording_id, cluster_id, CAST(floor(spike_time / 30000000) AS BIGINT) AS time_bin, median(depth) AS depth, count(*) AS n FROM dp WHERE depth IS NOT NULL GROUP BY 1, 2, 3)
+SELECT * FROM p JOIN u USING (recording_id, cluster_id) WHERE abs(depth - usual) > 2 AND n > 3""")
+def sig19_depth_jumps(spark, d):
+    """Stretches in which a cluster's depth is off its usual depth."""
+    return drift.depth_jumps(_deep(spark, d), BIN, 2.0, 3)
+
+
+@query(f"""WITH {_SP}, c AS (SELECT * FROM sp WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude)), q AS (SELECT recording_id, quantile_cont(spike_amplitude, 0.1) AS a, quantile_cont(spike_amplitude, 0.9) AS b FROM c GROUP BY 1)
+SELECT recording_id, CAST(greatest(1, least(20, floor((spike_amplitude - a) / (b - a) * 20) + 1)) AS INT) AS color_bin, count(*) AS n FROM c JOIN q USING (recording_id) GROUP BY 1, 2""")
+def vis02_amplitude_bins(spark, d):
+    """Spikes by the colour bin of their amplitude."""
+    return drift.amplitude_bins(_spikes(spark, d), 0.1, 0.9, 20).groupBy("recording_id", "color_bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def sig01_common_average(spark, d):
+    """Samples of the fast band less the medians of their chunk."""
+    rows = table(spark, d, "samples").where("band = 'ap'").select("recording_id", "file_ord", "sample_idx", "x")
+    return signal.transform_chunks(rows, ["recording_id", "file_ord"], [signal.common_average], 1 << 16)
+
+
+def _events(spark, d):
+    return table(spark, d, "events").withColumn("second", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01', date_trunc('second', ts))"))
+
+
+@query("SELECT user_id, CAST(date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 86400 AS BIGINT) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def str_daily_events(spark, d):
+    """Events and their value per user and day."""
+    return _events(spark, d).groupBy("user_id", F.floor(F.col("second") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
