@@ -39,3 +39,12 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     past the bound goes through an ordinary shuffled join instead.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, each_core: int = 2) -> DataFrame:
+    """``df`` in enough partitions to keep all cores busy, for work that costs much a row.
+
+    A table that already comes in that many partitions isn't moved.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism * each_core
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
