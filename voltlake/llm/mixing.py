@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.runtime import checkpoint, small_side
+from voltlake.runtime import checkpoint, small_side, spread
 
 #: The tokenizer if no path is given: a file of the folder of public tokenizers.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -43,7 +43,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", token
             counts = [len(e.ids) for e in t.encode_batch([x or "" for x in b[text]], add_special_tokens=False)]
             yield b[others].assign(**{out: counts})
 
-    return df.select(*others, text).mapInPandas(run, f"{kinds}, {out} bigint")
+    return spread(df.select(*others, text)).mapInPandas(run, f"{kinds}, {out} bigint")
 
 
 def source_name(c: Column) -> Column:

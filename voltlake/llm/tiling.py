@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.runtime import spread
+
 #: Words in a seed and least number of seeds a pair shares; least match that becomes a tile.
 SEED, MIN_SEEDS, MIN_TILE = 5, 4, 3
 #: Words of the item a passage has at least, and share of them that must stand.
@@ -251,6 +253,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc: str = "doc_id", it
     blocks = max(1, -(-items.count() // MAX_ITEMS))
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((documents, doc), (items, item)))
     docs = documents.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("_d"), F.col(text).alias("_t"))
+    docs = spread(docs)
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == block).select(item, item_text).collect()
