@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import scalars
 from voltlake.operators import channels as ch
-from voltlake.operators import curation, drift, joins, signal, tensor, timeshift
+from voltlake.operators import curation, drift, joins, signal, templates, tensor, timeshift
 from voltlake.operators import spikes as sp
 from voltlake.operators import trials as tr
 from voltlake.operators import waveforms as wf
@@ -597,3 +597,96 @@ def _events(spark, d):
 def str_daily_events(spark, d):
     """Events and their value per user and day."""
     return _events(spark, d).groupBy("user_id", F.floor(F.col("second") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_PC = [(i, j) for i in range(2) for j in range(3)]
+
+
+def _features(spark, d):
+    rows = table(spark, d, "spikes").select("spike_id", "recording_id", "cluster_id", "spike_time", "pc_features").dropDuplicates(["spike_id"])
+    return rows, [F.get(F.get("pc_features", F.lit(i)), F.lit(j)) for i, j in _PC]
+
+
+_CEN = """ft AS (SELECT DISTINCT ON (spike_id) spike_id, recording_id, cluster_id, spike_time, pc_features AS p FROM spikes WHERE pc_features IS NOT NULL ORDER BY spike_id),
+cen AS (SELECT recording_id, cluster_id, avg(p[1][1]::DOUBLE) AS a, avg(p[1][2]::DOUBLE) AS b, avg(p[1][3]::DOUBLE) AS c, avg(p[2][1]::DOUBLE) AS d, avg(p[2][2]::DOUBLE) AS e, avg(p[2][3]::DOUBLE) AS f FROM ft GROUP BY 1, 2),
+pd AS (SELECT x.recording_id, x.cluster_id, y.cluster_id AS other, sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2) + pow(x.d - y.d, 2) + pow(x.e - y.e, 2) + pow(x.f - y.f, 2)) AS distance FROM cen x JOIN cen y ON x.recording_id = y.recording_id AND x.cluster_id <> y.cluster_id)"""
+
+
+@query(f"WITH {_CEN} SELECT recording_id, cluster_id, other, round(distance, 5) AS distance FROM pd WHERE cluster_id < other")
+def sig20_cluster_distances(spark, d):
+    """Distances between the feature centroids of a recording's clusters."""
+    rows, f = _features(spark, d)
+    return templates.distances(templates.feature_centroids(rows, ["recording_id", "cluster_id"], f), ["recording_id"], "cluster_id").withColumn("distance", F.round("distance", 5))
+
+
+@query(f"WITH {_CEN} SELECT recording_id, cluster_id, other, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, cluster_id ORDER BY distance, other) AS rank FROM pd) WHERE rank <= 3")
+def top03_similar_clusters(spark, d):
+    """The three clusters nearest to each."""
+    rows, f = _features(spark, d)
+    pairs = templates.distances(templates.feature_centroids(rows, ["recording_id", "cluster_id"], f), ["recording_id"], "cluster_id")
+    return templates.most_similar(pairs, ["recording_id"], "cluster_id", 3).select("recording_id", "cluster_id", "other", "rank")
+
+
+@query(f"""WITH {_CEN}, b AS (SELECT recording_id, cluster_id, CAST(floor(spike_time / {BIN}) AS BIGINT) AS bin, avg(p[1][1]::DOUBLE) AS a, avg(p[1][2]::DOUBLE) AS b, avg(p[1][3]::DOUBLE) AS c, avg(p[2][1]::DOUBLE) AS d, avg(p[2][2]::DOUBLE) AS e, avg(p[2][3]::DOUBLE) AS f FROM ft GROUP BY 1, 2, 3)
+SELECT x.recording_id, x.cluster_id, round(max(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2) + pow(x.d - y.d, 2) + pow(x.e - y.e, 2) + pow(x.f - y.f, 2))), 5) AS drift
+FROM b x JOIN b y ON x.recording_id = y.recording_id AND x.cluster_id = y.cluster_id AND x.bin < y.bin GROUP BY 1, 2""")
+def agg24_drift_distance(spark, d):
+    """How far a cluster's centroid wanders between stretches of time."""
+    rows, f = _features(spark, d)
+    parts = templates.feature_centroids(rows.withColumn("bin", F.floor(F.col("spike_time") / BIN)), ["recording_id", "cluster_id", "bin"], f)
+    return templates.drift_distance(templates.distances(parts, ["recording_id", "cluster_id"], "bin"), ["recording_id", "cluster_id"]).withColumn("drift", F.round("drift", 5))
+
+
+_SW = "sw AS (SELECT DISTINCT snippet_id AS window_id, recording_id, sample_idx + window_lo AS w_lo, sample_idx + window_hi AS w_hi FROM snippets)"
+
+
+def _snippet_windows(spark, d):
+    return table(spark, d, "snippets").select(F.col("snippet_id").alias("window_id"), "recording_id", (F.col("sample_idx") + F.col("window_lo")).alias("w_lo"), (F.col("sample_idx") + F.col("window_hi")).alias("w_hi")).distinct()
+
+
+@query(f"WITH {_SP}, {_SW} SELECT window_id, spike_id FROM sp JOIN sw ON sp.recording_id = sw.recording_id AND spike_time BETWEEN w_lo - 20000 AND w_hi + 20000")
+def jn11_overlap(spark, d):
+    """Spikes whose surroundings touch a snippet's window."""
+    return templates.overlapping(_spikes(spark, d), _snippet_windows(spark, d), 20_000, 20_000).select("window_id", "spike_id")
+
+
+@query(f"""WITH {_SP}, {_SW}, tp(dt, w) AS (VALUES (-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)),
+n AS (SELECT window_id, spike_time + dt AS sample_idx, amplitude * w AS v FROM sp JOIN sw ON sp.recording_id = sw.recording_id AND spike_time BETWEEN w_lo - 2 AND w_hi + 2, tp WHERE spike_time + dt BETWEEN w_lo AND w_hi)
+SELECT window_id, sample_idx, round(sum(v), 5) AS v FROM n GROUP BY 1, 2""")
+def sig08_reconstruct(spark, d):
+    """What the spikes' templates add up to inside the snippets' windows."""
+    taps = spark.createDataFrame([(-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)], "dt int, w double")
+    return templates.reconstruct(_spikes(spark, d), _snippet_windows(spark, d), taps, 2, 2).withColumn("v", F.round("v", 5))
+
+
+@query(f"""WITH {_SP}, sm AS (SELECT DISTINCT recording_id, sample_idx, x FROM samples WHERE file_ord = 1 AND band = 'ap')
+SELECT spike_id AS request_id, sample_idx - spike_time AS "offset", x[1] AS x1 FROM sp JOIN sm ON sp.recording_id = sm.recording_id AND sample_idx - spike_time BETWEEN -60 AND 60""")
+def sig06_snippet_samples(spark, d):
+    """Samples of the first file around each spike."""
+    s = table(spark, d, "samples").where("file_ord = 1 and band = 'ap'").select("recording_id", "sample_idx", "x").distinct()
+    req = _spikes(spark, d).select("recording_id", F.col("spike_id").alias("request_id"), F.col("spike_time").alias("at"))
+    return templates.snippet_samples(req, s, ["recording_id"], -60, 60).select("request_id", "offset", F.col("x")[0].alias("x1"))
+
+
+@query(f"WITH {_SP} SELECT spike_id, CAST(floor((spike_time - 1) / 2000000) AS INT) AS batch FROM sp")
+def jn10_batches(spark, d):
+    """The batch last begun at each spike."""
+    s = _spikes(spark, d).select("spike_id", "recording_id", "spike_time")
+    last = s.groupBy("recording_id").agg(F.max("spike_time").alias("last"))
+    marks = last.select("recording_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 2_000_000).cast("int"))).alias("batch")).withColumn("start", F.col("batch").cast("long") * 2_000_000 + 1)
+    return joins.as_of(s, marks, ["recording_id"], "spike_time", "start", "batch").select("spike_id", "batch")
+
+
+@query()
+def sig16_components(spark, d):
+    """Principal components of the spike features."""
+    rows, f = _features(spark, d)
+    _, comps, share = templates.principal_components(rows, f, 3)
+    return spark.createDataFrame([(i + 1, [float(x) for x in c], float(s)) for i, (c, s) in enumerate(zip(comps, share))], "component int, weights array<double>, share double")
+
+
+@query("SELECT recording_id, CAST(list_reduce(list_sort(list_distinct(list(CAST(gain AS BIGINT)))), lambda a, b: lcm(a, b)) AS BIGINT) AS common_gain FROM concat_segments WHERE gain = floor(gain) AND gain > 0 GROUP BY 1")
+def fn06_common_gain(spark, d):
+    """The gain to which all plain gains of a recording can be raised."""
+    lists = table(spark, d, "concat_segments").where("gain = floor(gain) and gain > 0").groupBy("recording_id").agg(F.array_sort(F.collect_set(F.col("gain").cast("long"))).alias("g"))
+    return lists.select("recording_id", F.aggregate("g", F.lit(1).cast("long"), lambda a, b: (a / scalars.gcd(a, b)).cast("long") * b).alias("common_gain"))
