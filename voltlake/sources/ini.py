@@ -63,6 +63,7 @@ def read_ini(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.regexp_replace(F.trim(F.substring_index("line", "=", 1)), "^~", "").alias("meta_key"), F.trim(F.expr("substring(line, locate('=', line) + 1)")).alias("meta_value"))
 
 
+# Fixed value: how recordings are named.
 _NAME = r"^([\w\-.]+?)\.imec(\d*)\.(\w+)\.bin$"
 
 
