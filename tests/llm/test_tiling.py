@@ -78,3 +78,16 @@ def test_blocks_of_items(spark, monkeypatch):
     it = spark.createDataFrame([(i, x, "") for i, x in items], ITEM)
     df = spark.createDataFrame([(i, x, "", "") for i, x in items], DOC)
     assert {(r.doc_id, r.item_id) for r in t.leaked_items(df, it).collect()} == {(i, i) for i in range(8)}
+
+
+def test_markup_parts_words_or_not():
+    assert t.words("a&nbsp;b&#160;c&#xA0;d<br/>&nbsp;e<p>f</p><li>g") == list("abcdefg")
+    assert t.words("<b>w</b>ave<i>form</i> H<sub>2</sub>O wave&shy;form R&amp;D caf&eacute; &lt;b&gt;") == ["waveform", "h2o", "waveform", "r", "d", "café", "b"]
+
+
+def test_passage_parted_by_entities_and_breaks(spark):
+    rng = random.Random(6)
+    own = item(rng).split()
+    docs = [(1, "&nbsp;".join(own[:40]), "", ""), (2, "<p>" + "<br/>&nbsp;".join(own[20:60]) + "</p>", "", ""), (3, "<li>".join(own[40:]), "", "")]
+    got = t.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame([(7, " ".join(own), "")], ITEM)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 7), (2, 7), (3, 7)} and all(r.n_words >= 40 for r in got)

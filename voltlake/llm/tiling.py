@@ -13,6 +13,7 @@ however many items there are.
 
 from __future__ import annotations
 
+import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -37,15 +38,28 @@ COMMON_WORDS, COMMON_SHARE = 8, 0.05
 
 _BASE, _MASK = 1_000_003, (1 << 61) - 1
 # Markup and line furniture that doesn't belong to the words of a text.
-_TAGS = re.compile(r"<[^<>\n]{1,80}>|&(?:[a-z]+|#\d+);")
+_INLINE = re.compile(r"</?(?:a|b|big|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>\n]{0,80})?>", re.I)
+_TAGS = re.compile(r"<[^<>\n]{1,80}>")
+_ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#\d+|#[xX][0-9A-Fa-f]+);")
+_INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 _NUMBERED = re.compile(r"(?m)^[ \t>|*#-]*(?:\(?\d{1,4}[.:)\]|]?[ \t]+)?")
 _BROKEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?:[>|*#]+\s*)?(?:\d{1,4}[.:)|]?\s+)?(?=\w)")
 _WORD = re.compile(r"\w+")
 
 
+def _character(entity: re.Match) -> str:
+    c = html.unescape(entity.group())
+    return "" if c in _INVISIBLE else " " if c.isspace() else c
+
+
 def words(text: str) -> list[str]:
-    """The words of a text, without case, punctuation, markup, line numbers and line breaks."""
-    text = _BROKEN.sub("", _TAGS.sub("", text))
+    """The words of a text, without case, punctuation, markup, line numbers and line breaks.
+
+    Tags that only mark letters may stand inside a word; all others part words, as spaces
+    written as entities do.
+    """
+    text = _ENTITY.sub(_character, _TAGS.sub(" ", _INLINE.sub("", text)))
+    text = _BROKEN.sub("", text)
     return _WORD.findall(_NUMBERED.sub(" ", text).replace("_", " ").lower())
 
 
