@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions import scalars
 from voltlake.operators import channels, curation, joins, signal, spikes, tensor, timeshift
+from voltlake.plans import reference
 from voltlake.sources import ini, npy, raw
 from voltlake.streaming.binned import windowed_counts
 
@@ -153,3 +155,18 @@ def test_stream_counts_each_spike_once(spark, tmp_path):
     q = windowed_counts(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.cluster_id, r.n) for r in spark.table("counts").collect()} == {(0, 2), (1, 1)}
+
+
+def test_cross_correlograms_of_all_clusters(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(2), 0, rng.randrange(3_000_000), rng.randrange(6), 0, 1.0, 1.0, False) for i in range(150)]
+    kinds = "spike_id bigint, recording_id int, probe_id int, spike_time bigint, cluster_id bigint, template_id int, amplitude double, spike_amplitude double, is_cutoff boolean"
+    spark.createDataFrame(rows + rows[:9], kinds).write.parquet(str(tmp_path / "spikes.parquet"))
+    want = Counter()
+    for a in rows:
+        for b in rows:
+            lag = b[3] - a[3]
+            if a[1] == b[1] and a[4] != b[4] and abs(lag) < 600_000:
+                want[a[1], a[4], b[4], int(np.sign(lag) * ((abs(lag) + 30_000) // 60_000))] += 1
+    got = reference.QUERIES["agg10_ccg_all"](spark, str(tmp_path)).collect()
+    assert {(r.recording_id, r.cluster_a, r.cluster_b, r.bin): r.n for r in got} == want and {r.cluster_a for r in got} == set(range(6))

@@ -103,6 +103,14 @@ def agg10_ccg(spark, d):
     return sp.correlogram(rows, rows, 60_000, 10, same=False).where("cluster_a <> cluster_b")
 
 
+@query(f"""WITH {_SP} SELECT a.recording_id, a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, CAST(round((b.spike_time - a.spike_time) / 60000.0) AS INT) AS bin, count(*) AS n
+FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND a.cluster_id <> b.cluster_id AND abs(b.spike_time - a.spike_time) < 600000 GROUP BY ALL""")
+def agg10_ccg_all(spark, d):
+    """Cross-correlograms of all pairs of clusters of every recording."""
+    rows = _spikes(spark, d)
+    return sp.correlogram(rows, rows, 60_000, 10, same=False).where("cluster_a <> cluster_b")
+
+
 @query(f"""WITH {_SP} SELECT a.recording_id, a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, CAST(round((b.spike_time - a.spike_time) / 60000.0) AS INT) AS bin, count(*) AS n
 FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND a.cluster_id = b.cluster_id AND a.spike_id <> b.spike_id AND abs(b.spike_time - a.spike_time) < 600000 GROUP BY ALL""")
 def agg10_acg(spark, d):
