@@ -170,3 +170,24 @@ def test_cross_correlograms_of_all_clusters(spark, tmp_path):
                 want[a[1], a[4], b[4], int(np.sign(lag) * ((abs(lag) + 30_000) // 60_000))] += 1
     got = reference.QUERIES["agg10_ccg_all"](spark, str(tmp_path)).collect()
     assert {(r.recording_id, r.cluster_a, r.cluster_b, r.bin): r.n for r in got} == want and {r.cluster_a for r in got} == set(range(6))
+
+
+def test_snippets_from_every_file_and_band(spark, tmp_path):
+    kinds = "spike_id bigint, recording_id int, probe_id int, spike_time bigint, cluster_id bigint, template_id int, amplitude double, spike_amplitude double, is_cutoff boolean"
+    times = {1: 50, 2: 999, 3: 1100, 4: 2600}  # in the first file, at its end, in the second, in the third
+    spark.createDataFrame([(i, 1, 0, t, 0, 0, 1.0, 1.0, False) for i, t in times.items()] * 2, kinds).write.parquet(str(tmp_path / "spikes.parquet"))
+    size = {1: 1000, 2: 1500, 3: 400}
+    spark.createDataFrame([(1, f, n) for f, n in size.items()], "recording_id int, file_ord int, samples_pre_shift bigint").write.parquet(str(tmp_path / "concat_segments.parquet"))
+    rows = [(1, f, "ap", k, [f * 5000 + k]) for f, n in size.items() for k in range(1, n + 1)] + [(1, f, "lf", k, [-f * 500 - k]) for f, n in size.items() for k in range(1, n // 12 + 1)]
+    spark.createDataFrame(rows, "recording_id int, file_ord int, band string, sample_idx bigint, x array<smallint>").write.parquet(str(tmp_path / "samples.parquet"))
+    before = {1: 0, 2: 1000, 3: 2500}
+    want = set()
+    for i, t in times.items():
+        own = max(f for f in size if before[f] < t)
+        slow = (t - before[own] - 1) // 12 + 1
+        for _, f, band, k, x in rows:
+            off = before[f] + k - t if band == "ap" else k - slow
+            if abs(off) <= 60 and (band == "ap" or f == own):
+                want.add((i, band, f, off, x[0]))
+    got = [(r.request_id, r.band, r.file_ord, r.offset, r.x1) for r in reference.QUERIES["sig06_snippet_samples_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and {(b, f) for _, b, f, _, _ in got} == {(b, f) for b in ("ap", "lf") for f in size}

@@ -676,6 +676,27 @@ def sig06_snippet_samples(spark, d):
     return templates.snippet_samples(req, s, ["recording_id"], -60, 60).select("request_id", "offset", F.col("x")[0].alias("x1"))
 
 
+@query(f"""WITH {_SP}, {_CAT}, sm AS (SELECT DISTINCT recording_id, file_ord, band, sample_idx, x FROM samples),
+ap AS (SELECT sm.recording_id, sm.file_ord, sample_idx + cat_stop - samples_pre_shift AS idx, x FROM sm JOIN cat ON sm.recording_id = cat.recording_id AND sm.file_ord = cat.file_ord WHERE band = 'ap'),
+lf AS (SELECT spike_id, sp.recording_id, file_ord, CAST(floor((spike_time - (cat_stop - samples_pre_shift) - 1) * 2500.0::DOUBLE / 30000.0::DOUBLE) + 1 AS BIGINT) AS idx FROM sp JOIN cat ON sp.recording_id = cat.recording_id AND spike_time BETWEEN cat_stop - samples_pre_shift + 1 AND cat_stop)
+SELECT spike_id AS request_id, 'ap' AS band, file_ord, idx - spike_time AS "offset", x[1] AS x1 FROM sp JOIN ap ON sp.recording_id = ap.recording_id AND idx - spike_time BETWEEN -60 AND 60
+UNION ALL SELECT spike_id, 'lf', lf.file_ord, sample_idx - idx, x[1] FROM lf JOIN sm ON lf.recording_id = sm.recording_id AND lf.file_ord = sm.file_ord AND band = 'lf' AND sample_idx - idx BETWEEN -60 AND 60""")
+def sig06_snippet_samples_all(spark, d):
+    """Samples of every file and both bands around each spike, with the file they stem from.
+
+    In the fast band a window goes on in the next file of the concatenation; in the slow band it is that
+    of the spike's own file, around the sample on at the spike.
+    """
+    s = table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x").distinct()
+    files = timeshift.concatenated(_files(spark, d))
+    rows = _spikes(spark, d).select("recording_id", F.col("spike_id").alias("request_id"), "spike_time")
+    fast = s.where("band = 'ap'").join(files, ["recording_id", "file_ord"]).select("recording_id", (F.col("sample_idx") + F.col("cat_start") - 1).alias("sample_idx"), F.struct("file_ord", "x").alias("x"))
+    ap = templates.snippet_samples(rows.withColumn("at", F.col("spike_time")), fast, ["recording_id"], -60, 60).select("request_id", F.lit("ap").alias("band"), "x.file_ord", "offset", F.col("x.x")[0].alias("x1"))
+    at = timeshift.source_file(rows, files, "spike_time").withColumn("at", scalars.convert_sample(F.col("source_idx"), FS, 2500.0))
+    lf = templates.snippet_samples(at, s.where("band = 'lf'"), ["recording_id", "file_ord"], -60, 60).select("request_id", F.lit("lf").alias("band"), "file_ord", "offset", F.col("x")[0].alias("x1"))
+    return ap.unionByName(lf)
+
+
 @query(f"WITH {_SP} SELECT spike_id, CAST(floor((spike_time - 1) / 2000000) AS INT) AS batch FROM sp")
 def jn10_batches(spark, d):
     """The batch last begun at each spike."""
