@@ -81,15 +81,22 @@ def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a test item."""
-    return tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).select("doc_id", "item_id")
+    found = tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    return found.where(F.col("n_words") >= tiling.MIN_WORDS).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items that leaked: number of documents concerned and longest passage, in words."""
-    found = tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    found = tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items")).where(F.col("n_words") >= tiling.MIN_WORDS)
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and an item that leaked, whole or in parts moved about: longest passage, share covered."""
+    found = tiling.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_items"))
+    return found.select("doc_id", "item_id", "n_words", F.round("coverage", 4).alias("coverage"))
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is used in the mixture."""
     return mixing.use_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -121,7 +128,7 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members, p7_found, p7_items, p8_mix, p8_shares, p8_limits, p8_copies, p9_found, p9_validation)}
+QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members, p7_found, p7_items, p7_coverage, p8_mix, p8_shares, p8_limits, p8_copies, p9_found, p9_validation)}
 
 ORACLES = {
     "p8_limits": """
