@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.llm.rolling import Running
 from voltlake.runtime import checkpoint, small_side, spread
 
 #: Words in a seed and least match that becomes a tile. A passage of 24 words of which 21 stand falls
@@ -43,7 +44,6 @@ COMMON_WORDS, COMMON_SHARE, COMMON_ITEMS = 8, 0.05, 50
 #: Rows up to which the items' seeds, the items and the candidate pairs are broadcast.
 MAX_SEEDS, MAX_ITEMS, MAX_PAIRS = 1_000_000, 20_000, 200_000
 
-_BASE = 0x9E3779B97F4A7C15
 # Markup and line furniture that doesn't belong to the words of a text.
 _INLINE = re.compile(r"</?(?:a|b|big|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>\n]{0,80})?>", re.I)
 _TAGS = re.compile(r"<[^<>\n]{1,80}>")
@@ -87,35 +87,6 @@ def numbers(text: str) -> np.ndarray:
     return np.fromiter(map(_number, words(text)), np.int64)
 
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least ``n`` of each."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << n.bit_length()
-        for name, base in (("_powers", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers, _inverse
-
-
-class Running:
-    """Karp-Rabin hashes (modulo 2^64) of the runs of an array, of whatever length."""
-
-    def __init__(self, ids: np.ndarray):
-        up, self.down = _power(len(ids) + 1)
-        self.sums = np.zeros(len(ids) + 1, np.uint64)
-        np.cumsum(ids.astype(np.uint64) * up[: len(ids)], out=self.sums[1:])
-
-    def hashes(self, length: int) -> np.ndarray:
-        n = max(0, len(self.sums) - length)
-        return (self.sums[length:] - self.sums[: len(self.sums) - length]) * self.down[:n] if n else np.empty(0, np.uint64)
-
-
 def rolling(ids: np.ndarray, length: int) -> np.ndarray:
     """Karp-Rabin hashes of every run of ``length`` numbers."""
     return Running(ids).hashes(length)
