@@ -1,13 +1,14 @@
 """Groups of mutually similar records by density peaks.
 
-Records are first gathered into small cells of the feature space (a cell keeps its count, mean
-and the member closest to its middle), so what follows depends on how much of the space is
+Records are first gathered into cells of the feature space narrower than the kernel (a cell keeps its
+count and mean), so what follows depends on how much of the space is
 occupied rather than on the number of records, and a heap of equal records is one cell. Density
-of a cell is the kernel-weighted count of records within reach; its pointer goes to the nearest denser cell
-within reach, and a cell without one is a peak. Both are blocked neighbour joins: space is cut
+of a cell is the kernel-weighted count of records within two kernels; its pointer goes to the nearest denser cell
+within reach. A cell without one is a candidate; candidates of high density times distance are
+peaks, the others strays. Both steps are blocked neighbour joins: space is cut
 into blocks, every cell goes to its home block and, as a candidate, to the blocks whose border it
-is within reach of, and inside a block a grid over further dimensions narrows down the pairs.
-Following pointers by doubling leads every cell to its peak.
+is within reach of, blocks that hold too many cells are cut along further dimensions, and inside a block
+a grid narrows down the pairs. Following pointers by doubling leads every cell to its peak.
 """
 
 from __future__ import annotations
@@ -24,9 +25,16 @@ from voltlake.runtime import checkpoint, small_side
 
 #: Salts over which the members of one cell are spread while repeated rows are dropped.
 SALTS = 32
-#: Dimensions that the blocks cut, and the blocks' width as a multiple of the reach.
+#: Dimensions that the blocks cut at first, the blocks' width as a multiple of the reach, and cells a block holds before
+#: it is cut along another dimension.
 SPLIT_DIMS = 3
 BLOCK_REACHES = 3
+MAX_CELLS = 20_000
+#: Radius of the density in kernels, and part of the reach in which a denser cell is looked for first.
+RADIUS = 2.0
+FIRST = 0.6
+#: Least density of a peak, and bins per octave and empty bins that tell peaks from strays.
+LEAST, OCTAVE, EMPTY = 10.0, 4, 8
 #: Pairs handled at once inside a block.
 PAIRS = 2_000_000
 
@@ -48,7 +56,7 @@ def _finite(names: list[str]) -> Column:
 
 
 def gather_cells(df: DataFrame, key: str, coords: list[Column], width: float) -> DataFrame:
-    """(cell, n, typical, x array): occupied cells with count, member nearest the middle, and mean.
+    """(cell, n, x array): occupied cells with count and mean.
 
     Rows of the same ``key`` and coordinates count once; rows with a null key or a coordinate
     that is null, NaN or infinite belong to no cell.
@@ -57,25 +65,49 @@ def gather_cells(df: DataFrame, key: str, coords: list[Column], width: float) ->
     rows = rows.where(F.col("id").isNotNull() & _finite(names)).withColumn("cell", _cell(names, width))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition("cell", "salt")
     rows = rows.groupBy("cell", "salt", "id").agg(*(F.first(c).alias(c) for c in names))
-    off = sum(((F.col(c) - (F.floor(F.col(c) / width) + 0.5) * width) ** 2 for c in names[1:]), (F.col(names[0]) - (F.floor(F.col(names[0]) / width) + 0.5) * width) ** 2)
-    cells = rows.withColumn("off", off).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "off").alias("typical"), *(F.avg(c).alias(c) for c in names))
-    return cells.select("cell", "n", "typical", F.array(*(F.col(c).cast("float") for c in names)).alias("x"))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names))
+    return cells.select("cell", "n", F.array(*(F.col(c).cast("float") for c in names)).alias("x"))
 
 
-def _blocks(cells: DataFrame, reach: float) -> DataFrame:
+def _at(i: int, width: float, off: float = 0.0) -> Column:
+    return F.floor((F.col("x")[i] + off) / width).cast("long")
+
+
+def block_levels(cells: DataFrame, dims: int, reach: float) -> DataFrame:
+    """(base, level): how many dimensions the blocks of a base block are cut along.
+
+    The base blocks cut ``SPLIT_DIMS`` dimensions; where a block holds more than ``MAX_CELLS``, one more is cut,
+    as long as there are any. Base blocks that need no more aren't listed.
+    """
+    split, width = min(SPLIT_DIMS, dims), BLOCK_REACHES * reach
+    fine = cells.groupBy(F.xxhash64(*(_at(i, width) for i in range(split))).alias("base"), *(_at(i, width).alias(f"b{i}") for i in range(split, dims))).agg(F.count(F.lit(1)).alias("n"))
+    over = None
+    for level in range(split, dims):
+        most = fine.groupBy("base", *(f"b{i}" for i in range(split, level))).agg(F.sum("n").alias("n")).where(F.col("n") > MAX_CELLS).select("base", F.lit(level + 1).alias("level"))
+        over = most if over is None else over.unionByName(most)
+        fine = fine.join(most.select("base").distinct(), "base", "left_semi") if level == split else fine
+    if over is None:
+        over = cells.select(F.lit(0).cast("long").alias("base"), F.lit(0).alias("level")).limit(0)
+    return checkpoint(over.groupBy("base").agg(F.max("level").alias("level")))
+
+
+def _blocks(cells: DataFrame, dims: int, reach: float, levels: DataFrame) -> DataFrame:
     """``cells`` in all blocks they are needed in: adds ``block`` and ``home``."""
-    dims = cells.select(F.size("x")).first()
-    split = min(SPLIT_DIMS, dims[0] if dims else 1)
-    width = BLOCK_REACHES * reach
-    at = [F.floor(F.col("x")[i] / width).cast("long") for i in range(split)]
-    spans = [F.sequence(F.floor((F.col("x")[i] - reach) / width).cast("long"), F.floor((F.col("x")[i] + reach) / width).cast("long")) for i in range(split)]
-    out = cells
-    for i, span in enumerate(spans):
-        out = out.withColumn(f"b{i}", F.explode(span))
-    home = F.lit(True)
+    split, width = min(SPLIT_DIMS, dims), BLOCK_REACHES * reach
+    out, home = cells, F.lit(True)
+
+    def cut(i: int) -> Column:
+        return F.sequence(_at(i, width, -reach), _at(i, width, reach))
+
     for i in range(split):
-        home = home & (F.col(f"b{i}") == at[i])
-    return out.withColumn("home", home).withColumn("block", F.xxhash64(*(f"b{i}" for i in range(split)))).drop(*(f"b{i}" for i in range(split)))
+        out = out.withColumn(f"b{i}", F.explode(cut(i)))
+        home = home & (F.col(f"b{i}") == _at(i, width))
+    out = out.withColumn("base", F.xxhash64(*(f"b{i}" for i in range(split)))).join(small_side(levels, 100_000), "base", "left")
+    for i in range(split, dims):
+        deep = F.coalesce("level", F.lit(0)) > i
+        out = out.withColumn(f"b{i}", F.explode(F.when(deep, cut(i)).otherwise(F.array(F.lit(0).cast("long")))))
+        home = home & (~deep | (F.col(f"b{i}") == _at(i, width)))
+    return out.withColumn("home", home).withColumn("block", F.xxhash64(*(f"b{i}" for i in range(dims)))).drop("base", "level", *(f"b{i}" for i in range(dims)))
 
 
 def neighbour_pairs(x: np.ndarray, home: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -129,13 +161,13 @@ def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
 
 
-def _density(reach: float, kernel: float) -> Callable[[pa.Table], pa.Table]:
+def _density(radius: float, kernel: float) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
         home = t.column("home").to_numpy()
         n = t.column("n").to_numpy().astype(np.float64)
         rho = np.zeros(t.num_rows)
         if home.any():
-            for i, j, d in neighbour_pairs(_matrix(t), home, reach):
+            for i, j, d in neighbour_pairs(_matrix(t), home, radius):
                 rho += np.bincount(i, weights=np.exp(-d / kernel**2) * n[j], minlength=len(rho))
         # Rounded, so that the order of summation can't change which of two cells is denser.
         return pa.table({"cell": t.column("cell").filter(pa.array(home)), "rho": pa.array(np.round(rho[home], 6))})
@@ -151,27 +183,45 @@ def _pointer(reach: float) -> Callable[[pa.Table], pa.Table]:
         rank[order] = np.arange(len(order))
         to = np.arange(len(cell))
         best = np.full(len(cell), np.inf)
-        if home.any():
-            for i, j, d in neighbour_pairs(_matrix(t), home, reach):
+        x, left = _matrix(t), home.copy()
+        # Most cells have a denser one nearby; only the rest is searched through the whole reach.
+        for near in (FIRST * reach, reach):
+            if not left.any():
+                break
+            for i, j, d in neighbour_pairs(x, left, near):
                 up = rank[j] < rank[i]
                 i, j, d = i[up], j[up], d[up]
                 pick = np.lexsort((rank[j], d, i))
                 i, j, d = i[pick], j[pick], d[pick]
                 first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
                 to[i[first]], best[i[first]] = j[first], np.sqrt(d[first])
+            left = left & np.isinf(best)
         return pa.table({"cell": pa.array(cell[home]), "to": pa.array(cell[to[home]]), "delta": pa.array(np.where(np.isfinite(best[home]), best[home], np.nan))})
 
     return run
 
 
-def label_cells(cells: DataFrame, reach: float, kernel: float) -> DataFrame:
-    """(cell, n, typical, x, rho, delta, peak): ``peak`` is the cell at the end of the pointers.
+def least_density(candidates: DataFrame) -> float:
+    """Density from which a candidate is a peak.
+
+    All candidates are at least the reach away from anything denser, so their density decides. Where the logarithms of
+    the densities leave a gap of two octaves or more, peaks lie above the widest one; they have ``LEAST`` at any rate.
+    """
+    bins = sorted(r[0] for r in candidates.select(F.floor(F.log2(F.greatest("rho", F.lit(1e-6))) * OCTAVE).alias("b")).distinct().collect())
+    gap, top = max(((hi - lo, hi) for lo, hi in zip(bins, bins[1:])), default=(0, 0))
+    return max(LEAST, 2.0 ** (top / OCTAVE) * (1 - 1e-9)) if gap > EMPTY else LEAST
+
+
+def label_cells(cells: DataFrame, dims: int, reach: float, kernel: float) -> DataFrame:
+    """(cell, n, x, rho, delta, peak): ``peak`` is the cell at the end of the pointers, null for strays.
 
-    ``delta`` is the distance to the nearest denser cell, NaN for a peak.
+    ``delta`` is the distance to the nearest denser cell, NaN where there is none within reach.
     """
-    dense = _blocks(cells.select("cell", "n", "x"), reach).groupBy("block").applyInArrow(_density(reach, kernel), "cell bigint, rho double")
+    levels = block_levels(cells, dims, reach)
+    radius = min(reach, RADIUS * kernel)
+    dense = _blocks(cells.select("cell", "n", "x"), dims, reach, levels).groupBy("block").applyInArrow(_density(radius, kernel), "cell bigint, rho double")
     cells = checkpoint(cells.join(dense, "cell"))
-    points = _blocks(cells.select("cell", "rho", "x"), reach).groupBy("block").applyInArrow(_pointer(reach), "cell bigint, to bigint, delta double")
+    points = _blocks(cells.select("cell", "rho", "x"), dims, reach, levels).groupBy("block").applyInArrow(_pointer(reach), "cell bigint, to bigint, delta double")
     points = checkpoint(points)
     ends = points.select("cell", "to")
     while True:
@@ -181,41 +231,60 @@ def label_cells(cells: DataFrame, reach: float, kernel: float) -> DataFrame:
         if ends.where("moved").isEmpty():
             break
         ends = ends.select("cell", "to")
-    return cells.join(points.select("cell", "delta"), "cell").join(ends.select("cell", F.col("to").alias("peak")), "cell")
-
-
-def describe_groups(labels: DataFrame, typical: int = 5) -> DataFrame:
-    """(group_id, n_members, n_cells, density, centroid, typical_ids) of labelled cells.
-
-    ``group_id`` is the member typical of the peak; ``typical_ids`` are the members typical of the
-    ``typical`` densest cells, densest first.
-    """
-    dims = labels.select(F.size("x")).first()
-    mean = [(F.sum(F.col("x")[i] * F.col("n")) / F.sum("n")) for i in range(dims[0] if dims else 0)]
-    by = F.struct((-F.col("rho")).alias("r"), "cell", "typical")
-    top = labels.select("peak", by.alias("b")).withColumn("rn", F.row_number().over(Window.partitionBy("peak").orderBy("b"))).where(F.col("rn") <= typical)
-    top = top.groupBy("peak").agg(F.array_sort(F.collect_list("b")).alias("t")).select("peak", F.col("t.typical").alias("typical_ids"))
-    sums = labels.groupBy("peak").agg(F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_cells"), F.max("rho").alias("density"), F.array(*(F.round(m, 4) for m in mean)).cast("array<double>").alias("centroid"))
-    heads = labels.where(F.col("cell") == F.col("peak")).select("peak", F.col("typical").alias("group_id"))
-    return sums.join(top, "peak").join(heads, "peak").select("group_id", "n_members", "n_cells", "density", "centroid", "typical_ids")
+    candidates = checkpoint(cells.join(points.where(F.col("cell") == F.col("to")).select("cell"), "cell").select(F.col("cell").alias("to"), "rho"))
+    peaks = candidates.where(F.col("rho") >= least_density(candidates)).select("to", F.col("to").alias("peak"))
+    ends = ends.select("cell", "to").join(small_side(checkpoint(peaks), 500_000), "to", "left").select("cell", "peak")
+    return cells.join(points.select("cell", "delta"), "cell").join(ends, "cell")
 
 
 def density_peaks(df: DataFrame, key: str, coords: list[Column], width: float, reach: float, kernel: float) -> DataFrame:
-    """Cells of ``df`` with their group's peak, see ``label_cells``.
+    """Cells of ``df`` with their group's peak, see ``label_cells``; ``width`` lies below ``kernel``.
 
     ``reach`` is the distance below which a denser record takes a record along: two peaks are never closer.
     An empty table gives an empty result; ties in density are broken by the cell's number.
     """
-    return label_cells(checkpoint(gather_cells(df, key, coords, width)), reach, kernel)
+    return label_cells(checkpoint(gather_cells(df, key, coords, width)), len(coords), reach, kernel)
+
 
+def _ranked(w: list[str], *order: Column | str) -> Column:
+    return F.row_number().over(Window.partitionBy(*w).orderBy(*order))
 
-def members(df: DataFrame, key: str, coords: list[Column], width: float, labels: DataFrame) -> DataFrame:
-    """(key, group_id): the group of every record, one row per key and group.
 
-    Records without usable coordinates have a null ``group_id``.
+def describe_groups(df: DataFrame, key: str, coords: list[Column], width: float, labels: DataFrame, typical: int = 5) -> DataFrame:
+    """(group_id, n_members, n_cells, density, centroid, typical_ids) of labelled cells.
+
+    ``typical_ids`` are the ``typical`` members nearest to the mean of the peak's cell among those of the densest cells that
+    hold so many, nearest first; ``group_id`` is the first of them. Strays, records too far from any peak, come in
+    one row of their own without a group.
+    """
+    rows, names = _coordinates(df, key, coords)
+    mean = [(F.sum(F.col("x")[i] * F.col("n")) / F.sum("n")) for i in range(len(coords))]
+    sums = labels.groupBy("peak").agg(F.sum("n").alias("n_members"), F.count(F.lit(1)).alias("n_cells"), F.max("rho").alias("density"), F.array(*(F.round(m, 4) for m in mean)).cast("array<double>").alias("centroid"))
+    dense = labels.where("peak is not null").select("peak", "cell", "n", "rho").withColumn("rn", _ranked(["peak"], F.desc("rho"), "cell")).where(F.col("rn") <= typical)
+    before = F.sum("n").over(Window.partitionBy("peak").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1))
+    dense = dense.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < typical).select("peak", "cell")
+    middle = labels.where(F.col("cell") == F.col("peak")).select("peak", F.col("x").alias("_m"))
+    near = rows.where(F.col("id").isNotNull() & _finite(names)).withColumn("cell", _cell(names, width)).join(small_side(checkpoint(dense.join(middle, "peak")), 500_000), "cell")
+    off = sum(((F.col(c) - F.col("_m")[i]) ** 2 for i, c in enumerate(names[1:], 1)), (F.col(names[0]) - F.col("_m")[0]) ** 2)
+    top = near.groupBy("peak", "id").agg(F.min(off).alias("d")).withColumn("rn", _ranked(["peak"], "d", "id")).where(F.col("rn") <= typical)
+    top = top.groupBy("peak").agg(F.array_sort(F.collect_list(F.struct("rn", "id"))).alias("t")).select(F.col("peak").alias("_p"), F.col("t.id").alias("typical_ids"))
+    known = F.col("peak").isNotNull()
+    out = sums.join(top, sums["peak"] == top["_p"], "left")
+    return out.select(F.col("typical_ids")[0].alias("group_id"), "n_members", "n_cells", F.when(known, F.col("density")).alias("density"), F.when(known, F.col("centroid")).alias("centroid"), "typical_ids")
+
+
+def members(df: DataFrame, key: str, coords: list[Column], width: float, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, group_id, kind): the group of every record, one row per key and group.
+
+    ``groups`` are those of ``describe_groups``. ``kind`` is member, stray (no peak within reach) or unplaced (a coordinate is
+    missing); of the latter two ``group_id`` is null.
     """
     rows, names = _coordinates(df, key, coords)
-    rows = rows.select("id", F.when(_finite(names), _cell(names, width)).alias("cell")).distinct()
-    heads = labels.where(F.col("cell") == F.col("peak")).select("peak", F.col("typical").alias("group_id"))
-    groups = small_side(checkpoint(labels.join(heads, "peak").select(F.col("cell").alias("_c"), "group_id")), 500_000)
-    return rows.join(groups, rows["cell"] == groups["_c"], "left").select(F.col("id").alias(key), "group_id")
+    rows = rows.select("id", F.when(F.col("id").isNotNull() & _finite(names), _cell(names, width)).alias("cell")).distinct()
+    first = groups.where("group_id is not null").select("group_id")
+    heads = rows.join(small_side(first, 500_000), F.col("id") == F.col("group_id")).select("cell", "group_id")
+    heads = labels.select("cell", "peak").join(heads, "cell").select("peak", "group_id").distinct()
+    known = labels.select("cell", "peak").join(heads, "peak", "left").select(F.col("cell").alias("_c"), "group_id")
+    known = small_side(checkpoint(known), 500_000)
+    kind = F.when(F.col("group_id").isNotNull(), "member").when(F.col("cell").isNotNull(), "stray").otherwise("unplaced")
+    return rows.join(known, rows["cell"] == known["_c"], "left").select(F.col("id").alias(key), "group_id", kind.alias("kind"))

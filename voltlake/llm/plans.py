@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltlake.llm import density_peaks as dp
 from voltlake.llm import mixing, quantiles, residue, tiling
 from voltlake.llm.runs import sync_runs
-from voltlake.runtime import table
+from voltlake.runtime import checkpoint, table
 
 PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 EPS = 0.005
@@ -56,7 +56,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Cell width, reach and kernel in feature units, and what a doubling of amplitude weighs.
-P6_WIDTH, P6_REACH, P6_KERNEL, P6_OCTAVE = 3.0, 6.0, 2.5, 0.5
+P6_WIDTH, P6_REACH, P6_KERNEL, P6_OCTAVE = 2.0, 6.0, 2.5, 0.5
 
 
 def _spike_space() -> list:
@@ -64,19 +64,20 @@ def _spike_space() -> list:
     return [*parts, F.log2(F.when(F.col("amplitude") > 0, F.col("amplitude"))) * P6_OCTAVE]
 
 
-def _p6(spikes: DataFrame) -> DataFrame:
-    return dp.density_peaks(spikes, "spike_id", _spike_space(), P6_WIDTH, P6_REACH, P6_KERNEL)
+def _p6(spikes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    labels = checkpoint(dp.density_peaks(spikes, "spike_id", _spike_space(), P6_WIDTH, P6_REACH, P6_KERNEL))
+    return labels, dp.describe_groups(spikes, "spike_id", _spike_space(), P6_WIDTH, labels)
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of similar spikes across recordings and clusters: size, centre, most typical spikes."""
-    return dp.describe_groups(_p6(table(spark, sf_dir, "spikes")))
+    """Groups of similar spikes across recordings and clusters: size, centre, most typical spikes; strays in one row."""
+    return _p6(table(spark, sf_dir, "spikes"))[1]
 
 
 def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every spike."""
     spikes = table(spark, sf_dir, "spikes")
-    return dp.members(spikes, "spike_id", _spike_space(), P6_WIDTH, _p6(spikes))
+    return dp.members(spikes, "spike_id", _spike_space(), P6_WIDTH, *_p6(spikes))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
