@@ -88,7 +88,7 @@ def test_full_blocks_are_cut_further(spark, monkeypatch):
     x = rng.uniform(-30, 30, (1200, 5))
     df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id bigint, p array<float>")
     coords = [F.col("p")[k] for k in range(5)]
-    run = lambda: sorted((r.cell, r.rho, r.delta if r.delta == r.delta else None, r.peak) for r in dp.density_peaks(df, "id", coords, 2.0, 6.0, 2.5).collect())
+    run = lambda: sorted((r.cell, r.rho, round(r.delta, 6) if r.delta == r.delta else None, r.peak) for r in dp.density_peaks(df, "id", coords, 2.0, 6.0, 2.5).collect())
     whole = run()
     monkeypatch.setattr(dp, "MAX_CELLS", 5)
     cells = dp.gather_cells(df, "id", coords, 2.0)
@@ -96,14 +96,18 @@ def test_full_blocks_are_cut_further(spark, monkeypatch):
     assert run() == whole
 
 
-def test_pairs_against_brute_force():
+def test_pairs_against_brute_force(monkeypatch):
     rng = np.random.default_rng(2)
+    monkeypatch.setattr(dp, "LEAF", 7)
     for dims in (1, 2, 3, 5, 7):
         x = rng.uniform(-4, 4, (80, dims))
         home = rng.random(80) < 0.7
-        got = sorted((int(i), int(j)) for a, b, _ in dp.neighbour_pairs(x, home, 2.0) for i, j in zip(a, b))
+        met = np.zeros((80, 80), int)
         d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        assert got == sorted((int(i), int(j)) for i, j in zip(*np.nonzero(d <= 4)) if home[i])
+        for i, j, dd in dp.neighbour_blocks(x, home, 2.0):
+            met[np.ix_(i, j)] += 1
+            assert np.allclose(dd, d[np.ix_(i, j)])
+        assert met.max() == 1 and not met[~home].any() and met[home][d[home] <= 4].all()
 
 
 def test_density_and_pointers_against_brute_force(spark):

@@ -13,7 +13,6 @@ a grid narrows down the pairs. Following pointers by doubling leads every cell t
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,15 +27,16 @@ SALTS = 32
 #: Dimensions that the blocks cut at first, the blocks' width as a multiple of the reach, and cells a block holds before
 #: it is cut along another dimension.
 SPLIT_DIMS = 3
-BLOCK_REACHES = 3
+BLOCK_REACHES = 5
 MAX_CELLS = 20_000
 #: Radius of the density in kernels, and part of the reach in which a denser cell is looked for first.
 RADIUS = 2.0
 FIRST = 0.6
 #: Least density of a peak, and bins per octave and empty bins that tell peaks from strays.
 LEAST, OCTAVE, EMPTY = 10.0, 4, 8
-#: Pairs handled at once inside a block.
-PAIRS = 2_000_000
+#: Points of a leaf, and pairs handled at once inside a block.
+LEAF = 64
+PAIRS = 1_000_000
 
 
 def _cell(coords: list[str], width: float) -> Column:
@@ -110,50 +110,50 @@ def _blocks(cells: DataFrame, dims: int, reach: float, levels: DataFrame) -> Dat
     return out.withColumn("home", home).withColumn("block", F.xxhash64(*(f"b{i}" for i in range(dims)))).drop("base", "level", *(f"b{i}" for i in range(dims)))
 
 
-def neighbour_pairs(x: np.ndarray, home: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, squared distance) of all pairs within ``reach``, i at home, in chunks of whole i.
+def leaves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the points, and the edges in it of the leaves of a k-d tree of at most ``LEAF`` points each."""
+    order = np.arange(len(x))
+    edges, todo = [0], [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= LEAF:
+            edges.append(hi)
+            continue
+        part = order[lo:hi]
+        p = x[part]
+        k, half = int(np.argmax(p.max(0) - p.min(0))), (hi - lo) // 2
+        order[lo:hi] = part[np.argpartition(p[:, k], half)]
+        todo += [(lo + half, hi), (lo, lo + half)]
+    return order, np.array(edges)
+
+
+def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, squared distances i x j), between them covering all pairs within ``reach``, i at home.
 
-    Points are sorted by a grid over the last dimensions, so that a point's candidates lie in a few
-    contiguous stretches.
+    Points of a leaf meet the points of all leaves whose boxes lie within reach, one matrix product for each.
     """
-    dims = x.shape[1]
-    grid = list(range(max(0, dims - 4), dims - 1))[-3:] or [0]
-    g = np.floor(x[:, grid] / reach).astype(np.int64)
-    g -= g.min(0) - 1
-    spans = g.max(0) + 2
-    key = np.zeros(len(x), np.int64)
-    for k in range(len(grid)):
-        key = key * spans[k] + g[:, k]
-    order = np.argsort(key, kind="stable")
-    key, x = key[order], x[order]
-    mine = np.flatnonzero(home[order])
-    steps = [0]
-    if len(grid) == 3:
-        steps = [(a * spans[1] + b) * spans[2] for a, b in itertools.product((-1, 0, 1), repeat=2)]
-    elif len(grid) == 2:
-        steps = [a * spans[1] for a in (-1, 0, 1)]
-    lo = np.stack([np.searchsorted(key, key[mine] + s - 1, side="left") for s in steps], 1)
-    hi = np.stack([np.searchsorted(key, key[mine] + s + 1, side="right") for s in steps], 1)
-    size = (hi - lo).sum(1)
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // PAIRS, prepend=0))
-    for part in np.split(np.arange(len(mine)), cut):
-        if not len(part):
+    if not home.any():
+        return
+    order, edges = leaves(x)
+    p = x[order]
+    low, high = np.minimum.reduceat(p, edges[:-1]), np.maximum.reduceat(p, edges[:-1])
+    for at in range(len(edges) - 1):
+        mine = order[edges[at] : edges[at + 1]]
+        mine = mine[home[mine]]
+        if not len(mine):
             continue
-        n = (hi[part] - lo[part]).ravel()
-        first = lo[part].ravel()
-        total = int(n.sum())
-        i = np.repeat(mine[part], (hi[part] - lo[part]).sum(1))
-        j = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        d = x[i, 0] - x[j, 0]
-        keep = np.abs(d) <= reach
-        i, j, d = i[keep], j[keep], d[keep] ** 2
-        for k in range(1, dims):
-            d += (x[i, k] - x[j, k]) ** 2
-            if k in (1, 3):
-                keep = d <= reach * reach
-                i, j, d = i[keep], j[keep], d[keep]
-        keep = d <= reach * reach
-        yield order[i[keep]], order[j[keep]], d[keep]
+        apart = np.maximum(0, np.maximum(low - high[at], low[at] - high))
+        near = np.flatnonzero((apart**2).sum(1) <= reach**2 * (1 + 1e-9))
+        other = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in near])
+        middle = (low[at] + high[at]) / 2
+        a = x[mine] - middle
+        for lo in range(0, len(other), max(1, PAIRS // len(mine))):
+            some = other[lo : lo + max(1, PAIRS // len(mine))]
+            b = p[some] - middle
+            d = a @ (-2 * b.T)
+            d += (a**2).sum(1)[:, None]
+            d += (b**2).sum(1)
+            yield mine, order[some], d
 
 
 def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
@@ -161,14 +161,21 @@ def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
 
 
+def _in_order(t: pa.Table) -> pa.Table:
+    """Rows by cell, so that sums come out the same however rows arrive."""
+    return t.take(pa.array(np.argsort(t.column("cell").to_numpy(), kind="stable")))
+
+
 def _density(radius: float, kernel: float) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
+        t = _in_order(t)
         home = t.column("home").to_numpy()
         n = t.column("n").to_numpy().astype(np.float64)
         rho = np.zeros(t.num_rows)
-        if home.any():
-            for i, j, d in neighbour_pairs(_matrix(t), home, radius):
-                rho += np.bincount(i, weights=np.exp(-d / kernel**2) * n[j], minlength=len(rho))
+        for i, j, d in neighbour_blocks(_matrix(t), home, radius):
+            close = np.flatnonzero(d <= radius**2)
+            row, column = np.divmod(close, len(j))
+            rho[i] += np.bincount(row, weights=np.exp(d.ravel()[close] / -(kernel**2)) * n[j][column], minlength=len(i))
         # Rounded, so that the order of summation can't change which of two cells is denser.
         return pa.table({"cell": t.column("cell").filter(pa.array(home)), "rho": pa.array(np.round(rho[home], 6))})
 
@@ -177,6 +184,7 @@ def _density(radius: float, kernel: float) -> Callable[[pa.Table], pa.Table]:
 
 def _pointer(reach: float) -> Callable[[pa.Table], pa.Table]:
     def run(t: pa.Table) -> pa.Table:
+        t = _in_order(t)
         home, cell, rho = t.column("home").to_numpy(), t.column("cell").to_numpy(), t.column("rho").to_numpy()
         order = np.lexsort((cell, -rho))
         rank = np.empty(len(order), np.int64)
@@ -186,16 +194,15 @@ def _pointer(reach: float) -> Callable[[pa.Table], pa.Table]:
         x, left = _matrix(t), home.copy()
         # Most cells have a denser one nearby; only the rest is searched through the whole reach.
         for near in (FIRST * reach, reach):
-            if not left.any():
-                break
-            for i, j, d in neighbour_pairs(x, left, near):
-                up = rank[j] < rank[i]
-                i, j, d = i[up], j[up], d[up]
-                pick = np.lexsort((rank[j], d, i))
-                i, j, d = i[pick], j[pick], d[pick]
-                first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
-                to[i[first]], best[i[first]] = j[first], np.sqrt(d[first])
+            for i, j, d in neighbour_blocks(x, left, near):
+                j, d = j[by := np.argsort(rank[j])], d[:, by]  # of equally near ones the densest
+                d[rank[j] >= rank[i][:, None]] = np.inf
+                at = d.argmin(1)
+                got = d[np.arange(len(i)), at]
+                closer = (got <= near**2) & ((got < best[i]) | ((got == best[i]) & (rank[j[at]] < rank[to[i]])))
+                to[i[closer]], best[i[closer]] = j[at[closer]], got[closer]
             left = left & np.isinf(best)
+        best = np.sqrt(np.maximum(best, 0))
         return pa.table({"cell": pa.array(cell[home]), "to": pa.array(cell[to[home]]), "delta": pa.array(np.where(np.isfinite(best[home]), best[home], np.nan))})
 
     return run
