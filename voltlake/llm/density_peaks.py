@@ -31,7 +31,7 @@ BLOCK_REACHES = 5
 MAX_CELLS = 20_000
 #: Radius of the density in kernels, and part of the reach in which a denser cell is looked for first.
 RADIUS = 2.0
-FIRST = 0.6
+FIRST = 0.5
 #: Least density of a peak, and bins per octave and empty bins that tell peaks from strays.
 LEAST, OCTAVE, EMPTY = 10.0, 4, 8
 #: Points of a leaf, and pairs handled at once inside a block.
@@ -127,10 +127,11 @@ def leaves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(edges)
 
 
-def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float, rank: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, squared distances i x j), between them covering all pairs within ``reach``, i at home.
 
-    Points of a leaf meet the points of all leaves whose boxes lie within reach, one matrix product for each.
+    Points of a leaf meet the points of all leaves whose boxes lie within reach, one matrix product for each. With
+    ``rank`` points that rank after all of the leaf are left out.
     """
     if not home.any():
         return
@@ -145,6 +146,8 @@ def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float) -> Iterator[
         apart = np.maximum(0, np.maximum(low - high[at], low[at] - high))
         near = np.flatnonzero((apart**2).sum(1) <= reach**2 * (1 + 1e-9))
         other = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in near])
+        if rank is not None:
+            other = other[rank[order[other]] < rank[mine].max()]
         middle = (low[at] + high[at]) / 2
         a = x[mine] - middle
         for lo in range(0, len(other), max(1, PAIRS // len(mine))):
@@ -194,8 +197,7 @@ def _pointer(reach: float) -> Callable[[pa.Table], pa.Table]:
         x, left = _matrix(t), home.copy()
         # Most cells have a denser one nearby; only the rest is searched through the whole reach.
         for near in (FIRST * reach, reach):
-            for i, j, d in neighbour_blocks(x, left, near):
-                j, d = j[by := np.argsort(rank[j])], d[:, by]  # of equally near ones the densest
+            for i, j, d in neighbour_blocks(x, left, near, rank):
                 d[rank[j] >= rank[i][:, None]] = np.inf
                 at = d.argmin(1)
                 got = d[np.arange(len(i)), at]
