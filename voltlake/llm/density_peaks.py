@@ -34,9 +34,9 @@ RADIUS = 2.0
 FIRST = 0.5
 #: Least density of a peak, and bins per octave and empty bins that tell peaks from strays.
 LEAST, OCTAVE, EMPTY = 10.0, 4, 8
-#: Points of a leaf, and pairs handled at once inside a block.
+#: Points of a leaf, and multiplications of one matrix product: few enough to stay in the cache and on one thread.
 LEAF = 64
-PAIRS = 1_000_000
+PRODUCT = 1 << 18
 
 
 def _cell(coords: list[str], width: float) -> Column:
@@ -150,8 +150,9 @@ def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float, rank: np.nda
             other = other[rank[order[other]] < rank[mine].max()]
         middle = (low[at] + high[at]) / 2
         a = x[mine] - middle
-        for lo in range(0, len(other), max(1, PAIRS // len(mine))):
-            some = other[lo : lo + max(1, PAIRS // len(mine))]
+        step = max(1, PRODUCT // a.size)
+        for lo in range(0, len(other), step):
+            some = other[lo : lo + step]
             b = p[some] - middle
             d = a @ (-2 * b.T)
             d += (a**2).sum(1)[:, None]
