@@ -35,7 +35,7 @@ FIRST = 0.5
 #: Least density of a peak, and bins per octave and empty bins that tell peaks from strays.
 LEAST, OCTAVE, EMPTY = 10.0, 4, 8
 #: Points of a leaf, and multiplications of one matrix product: few enough to stay in the cache and on one thread.
-LEAF = 64
+LEAF = 128
 PRODUCT = 1 << 18
 
 
@@ -136,28 +136,29 @@ def neighbour_blocks(x: np.ndarray, home: np.ndarray, reach: float, rank: np.nda
     if not home.any():
         return
     order, edges = leaves(x)
-    p = x[order]
+    p, size = x[order], np.diff(edges)
     low, high = np.minimum.reduceat(p, edges[:-1]), np.maximum.reduceat(p, edges[:-1])
-    for at in range(len(edges) - 1):
+    most = reach**2 * (1 + 1e-9)
+    for at in range(len(size)):
         mine = order[edges[at] : edges[at + 1]]
         mine = mine[home[mine]]
         if not len(mine):
             continue
         apart = np.maximum(0, np.maximum(low - high[at], low[at] - high))
-        near = np.flatnonzero((apart**2).sum(1) <= reach**2 * (1 + 1e-9))
-        other = np.concatenate([np.arange(edges[k], edges[k + 1]) for k in near])
+        other = np.flatnonzero(np.repeat(np.einsum("ij,ij->i", apart, apart) <= most, size))
         if rank is not None:
             other = other[rank[order[other]] < rank[mine].max()]
-        middle = (low[at] + high[at]) / 2
-        a = x[mine] - middle
-        step = max(1, PRODUCT // a.size)
+        q = p[other]
+        apart = np.maximum(0, np.maximum(low[at] - q, q - high[at]))
+        close = np.einsum("ij,ij->i", apart, apart) <= most
+        other, q = other[close], q[close] - (low[at] + high[at]) / 2
+        a = x[mine] - (low[at] + high[at]) / 2
+        # The squared lengths ride along in the product.
+        left = np.column_stack([-2 * a, np.ones(len(a)), (a**2).sum(1)])
+        right = np.column_stack([q, (q**2).sum(1), np.ones(len(q))])
+        step = max(1, PRODUCT // left.size)
         for lo in range(0, len(other), step):
-            some = other[lo : lo + step]
-            b = p[some] - middle
-            d = a @ (-2 * b.T)
-            d += (a**2).sum(1)[:, None]
-            d += (b**2).sum(1)
-            yield mine, order[some], d
+            yield mine, order[other[lo : lo + step]], left @ right[lo : lo + step].T
 
 
 def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
