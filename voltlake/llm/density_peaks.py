@@ -27,7 +27,7 @@ SALTS = 32
 #: Dimensions that the blocks cut at first, the blocks' width as a multiple of the reach, and cells a block holds before
 #: it is cut along another dimension.
 SPLIT_DIMS = 3
-BLOCK_REACHES = 5
+BLOCK_REACHES = 8
 MAX_CELLS = 20_000
 #: Radius of the density in kernels, and part of the reach in which a denser cell is looked for first.
 RADIUS = 2.0
@@ -65,8 +65,8 @@ def gather_cells(df: DataFrame, key: str, coords: list[Column], width: float) ->
     rows = rows.where(F.col("id").isNotNull() & _finite(names)).withColumn("cell", _cell(names, width))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).repartition("cell", "salt")
     rows = rows.groupBy("cell", "salt", "id").agg(*(F.first(c).alias(c) for c in names))
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names))
-    return cells.select("cell", "n", F.array(*(F.col(c).cast("float") for c in names)).alias("x"))
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names))
+    return cells.select("cell", "n", F.array(*((F.col(c) / F.col("n")).cast("float") for c in names)).alias("x"))
 
 
 def _at(i: int, width: float, off: float = 0.0) -> Column:
