@@ -12,7 +12,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +37,13 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", token
     others = [c for c in df.columns if c != text]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(tokenizer)
         for b in batches:
-            counts = [len(e.ids) for e in t.encode_batch([x or "" for x in b[text]], add_special_tokens=False)]
-            yield b[others].assign(**{out: counts})
+            counts = [len(e.ids) for e in t.encode_batch([x or "" for x in b.column(len(others)).to_pylist()], add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64())], [*others, out])
 
-    return spread(df.select(*others, text)).mapInPandas(run, f"{kinds}, {out} bigint")
+    return spread(df.select(*others, text), 1).mapInArrow(run, f"{kinds}, {out} bigint")
 
 
 def source_name(c: Column) -> Column:

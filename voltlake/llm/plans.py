@@ -12,6 +12,8 @@ from voltlake.runtime import checkpoint, table
 
 PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 EPS = 0.005
+#: Bound below which no node of a group of up to 10^10 rows is merged.
+EPS_WHOLE = 1e-9
 
 
 def amplitude_digests(spikes: DataFrame) -> DataFrame:
@@ -35,18 +37,12 @@ def p4_probe_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir, ["probe_id"]).select("probe_id", "n", *PROBS)
 
 
-def p4_probe_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per probe and percentile: whether the reported value's true rank is within the bound."""
-    found = _p4(spark, sf_dir, ["probe_id"])
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("percentile"), F.lit(p).alias("p"), F.col(f"{k}_leaf").alias("at")) for k, p in PROBS.items())))
-    asked = F.broadcast(found.select(F.col("probe_id").alias("probe"), "n", pairs.alias("x")).select("probe", "n", "x.*"))
-    rows = table(spark, sf_dir, "spikes").select("spike_id", "probe_id", quantiles.leaf(F.col("spike_amplitude")).alias("leaf")).where("leaf is not null").distinct()
-    rows = rows.groupBy("probe_id", "leaf").count()
-    met = rows.join(asked, rows["probe_id"] == asked["probe"])
-    ranks = met.groupBy("probe_id", "n", "percentile", "p", "at").agg(F.sum(F.when(F.col("leaf") < F.col("at"), F.col("count")).otherwise(0)).alias("below"), F.sum(F.when(F.col("leaf") <= F.col("at"), F.col("count")).otherwise(0)).alias("through"))
-    rank = F.greatest(F.ceil(F.col("p") * F.col("n")), F.lit(1))
-    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("through"), F.lit(0))
-    return ranks.select("probe_id", "percentile", "n", (off <= EPS * F.col("n")).alias("within"))
+def p4_probe_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per probe and percentile the leaf of the universe it lies in, by digests that hold every leaf: exact but for the leaf's width."""
+    rows = table(spark, sf_dir, "spikes").withColumn("day", F.to_date("loaded_at"))
+    daily = quantiles.digests(rows, ["probe_id", "day"], "spike_amplitude", EPS_WHOLE, "spike_id", "day")
+    found = quantiles.percentiles(quantiles.combine(daily, ["probe_id"], EPS_WHOLE), ["probe_id"], PROBS, with_leaves=True)
+    return found.select("probe_id", "n", *(F.col(f"{k}_leaf").alias(k) for k in PROBS))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +104,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*mixing.use_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
 
 
-def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: documents, and whether no document is used more often than allowed."""
-    r = p8_shares(spark, sf_dir)
-    return r.select("source", "n_docs", "max_repeats", (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+def p8_word_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source how often its documents are used on average if sizes are counted in words between blanks."""
+    docs = table(spark, sf_dir, "documents").select(mixing.source_name(F.col("source")).alias("source"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), 1)).cast("long").alias("n_tokens"))
+    return mixing.rates(docs, table(spark, sf_dir, "mix_targets")).withColumn("rate", F.round("rate", 6))
 
 
 def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,17 +125,20 @@ def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.validate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_bound, p5_found, p6_groups, p6_members, p7_found, p7_items, p7_coverage, p8_mix, p8_shares, p8_limits, p8_copies, p9_found, p9_validation)}
+QUERIES = {f.__name__: f for f in (p4_cluster_percentiles, p4_probe_percentiles, p4_probe_leaves, p5_found, p6_groups, p6_members, p7_found, p7_items, p7_coverage, p8_mix, p8_shares, p8_word_rates, p8_copies, p9_found, p9_validation)}
 
 ORACLES = {
-    "p8_limits": """
-WITH d AS (SELECT regexp_replace(lower(trim(source)), '[ -]+', '_', 'g') AS source, count(*) AS n_docs FROM documents GROUP BY 1)
-SELECT coalesce(d.source, t.source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(max_repeats, 0) AS max_repeats, true AS within_cap
-FROM d FULL JOIN mix_targets t ON d.source = t.source""",
-    "p4_probe_bound": """
-WITH s AS (SELECT DISTINCT spike_id, probe_id FROM spikes WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude)),
-p AS (SELECT probe_id, count(*) AS n FROM s GROUP BY 1)
-SELECT probe_id, percentile, n, true AS "within" FROM p, (VALUES ('p05'), ('p25'), ('p50'), ('p75'), ('p95'), ('p99')) AS v(percentile)""",
+    "p8_word_rates": r"""
+WITH d AS (SELECT regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS s, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\S+'))) AS BIGINT) AS n_tokens FROM documents GROUP BY 1),
+b AS (SELECT coalesce(s, source) AS source, coalesce(n_docs, 0) AS n_docs, coalesce(n_tokens, 0) AS n_tokens, coalesce(target_share, 0.0::DOUBLE) AS target_share, coalesce(max_repeats, 0) AS max_repeats FROM d FULL JOIN mix_targets ON s = source),
+r AS (SELECT *, CASE WHEN n_tokens > 0 AND target_share > 0 THEN max_repeats * n_tokens / target_share END AS room FROM b), w AS (SELECT *, min(room) OVER () AS total FROM r)
+SELECT source, n_docs, n_tokens, target_share, max_repeats, round(CASE WHEN room IS NULL THEN 0.0::DOUBLE ELSE least(target_share * total / n_tokens, max_repeats::DOUBLE) END, 6) AS rate FROM w""",
+    "p4_probe_leaves": """
+WITH s AS (SELECT spike_id, probe_id, min(spike_amplitude) AS v FROM spikes WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude) GROUP BY 1, 2),
+l AS (SELECT probe_id, 1048576 + CASE WHEN v < 0 THEN -1 ELSE 1 END * least(CAST(floor(log2(abs(v) * 64 + 1) * 512) AS BIGINT), 1048575) AS leaf FROM s)
+SELECT probe_id, count(*) AS n, """
+    + ", ".join(f"quantile_disc(leaf, {p}) AS {k}" for k, p in PROBS.items())
+    + " FROM l GROUP BY 1",
     "p5_found": """
 WITH names AS (
   SELECT recording_id, string_split_regex(min(meta_value), '[;,]') AS l FROM recording_meta
