@@ -60,7 +60,11 @@ def test_duplicates_against_brute_force(spark):
     df = spark.createDataFrame([(1, i, x, 1) for i, x in enumerate(t)], "recording_id int, spike_id bigint, spike_time bigint, template_id int")
     got = {r.spike_id: r.of_spike for r in spikes.duplicates(df, 5).collect()}
     assert got == greedy(t, 5)
-    assert spikes.duplicates(df, 5, spark.createDataFrame([(9, 9)], "a int, b int")).count() == 0
+    far = df.selectExpr("*", "100.0 * spike_id as x", "0.0 as y")
+    assert spikes.duplicates(far, 5, 50.0).count() == 0
+    assert {r.spike_id: r.of_spike for r in spikes.duplicates(far, 5, 1e9).collect()} == greedy(t, 5)
+    assert spikes.duplicates(df.selectExpr("*", "cast(null as double) as x", "0.0 as y"), 5, 50.0).count() == 0
+    assert spikes.duplicates(df.limit(0), 5).count() == 0
 
 
 def test_merge_sets_are_transitive(spark):
@@ -168,7 +172,7 @@ def test_cross_correlograms_of_all_clusters(spark, tmp_path):
             lag = b[3] - a[3]
             if a[1] == b[1] and a[4] != b[4] and abs(lag) < 600_000:
                 want[a[1], a[4], b[4], int(np.sign(lag) * ((abs(lag) + 30_000) // 60_000))] += 1
-    got = reference.QUERIES["agg10_ccg_all"](spark, str(tmp_path)).collect()
+    got = reference.QUERIES["agg10_ccg"](spark, str(tmp_path)).collect()
     assert {(r.recording_id, r.cluster_a, r.cluster_b, r.bin): r.n for r in got} == want and {r.cluster_a for r in got} == set(range(6))
 
 
@@ -189,5 +193,5 @@ def test_snippets_from_every_file_and_band(spark, tmp_path):
             off = before[f] + k - t if band == "ap" else k - slow
             if abs(off) <= 60 and (band == "ap" or f == own):
                 want.add((i, band, f, off, x[0]))
-    got = [(r.request_id, r.band, r.file_ord, r.offset, r.x1) for r in reference.QUERIES["sig06_snippet_samples_all"](spark, str(tmp_path)).collect()]
+    got = [(r.request_id, r.band, r.file_ord, r.offset, r.x1) for r in reference.QUERIES["sig06_snippet_samples"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and {(b, f) for _, b, f, _, _ in got} == {(b, f) for b in ("ap", "lf") for f in size}

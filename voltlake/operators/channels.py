@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlake.functions.scalars import gcd
+
 
 def select_channels(channels: DataFrame, bad: DataFrame | None = None, which: str = "good") -> DataFrame:
     """Channels by kind: all, mapped, connected, reference, or good (connected and not bad)."""
@@ -54,6 +56,18 @@ def common_gain(gains: list[int]) -> int:
     return reduce(math.lcm, set(gains), 1)
 
 
+def common_gains(files: DataFrame) -> DataFrame:
+    """(recording_id, file_ord, gain_x, common_gain, times): whole gains of files and the gain all can be raised to.
+
+    Gains below 1 and null ones are left out. A recording has a handful of different gains.
+    """
+    rows = files.where("gain_x >= 1")
+    lists = rows.groupBy("recording_id").agg(F.array_sort(F.collect_set("gain_x")).alias("g"))
+    common = F.aggregate("g", F.lit(1).cast("long"), lambda a, b: (a / gcd(a, b)).cast("long") * b)
+    joined = rows.join(lists.select("recording_id", common.alias("common_gain")), "recording_id")
+    return joined.withColumn("times", F.expr("common_gain div gain_x"))
+
+
 def bad_by_rms(rms: DataFrame, low: float, high: float) -> DataFrame:
     """Channels whose rms lies outside [low, high] µV."""
     return rms.where(~F.col("rms_uv").between(low, high))

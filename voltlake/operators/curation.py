@@ -48,3 +48,23 @@ def usable(flags: DataFrame, ratings: DataFrame, accepted: list[int], subgroups:
     wide = flags.where(F.col("subgroup").isin(subgroups)).groupBy("recording_id", "cluster_id").agg(F.bool_and("usable").alias("_u"), F.count_distinct("subgroup").alias("_n"))
     good = wide.where(F.col("_u") & (F.col("_n") == len(set(subgroups))))
     return ratings.where(F.col("rating").isin(accepted)).join(good, ["recording_id", "cluster_id"], "left_semi").select("recording_id", "cluster_id", "rating")
+
+
+def realign(ratings: DataFrame, clusters: DataFrame, defaults: dict) -> DataFrame:
+    """Ratings of the given clusters: those without one get ``defaults``, those of other clusters go."""
+    rows = clusters.select("recording_id", "cluster_id").join(ratings, ["recording_id", "cluster_id"], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def upsert(ratings: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ratings with ``changes`` written over; a null in a change keeps what is there, new clusters are added."""
+    keys = ["recording_id", "cluster_id"]
+    others = [c for c in ratings.columns if c not in keys]
+    new = changes.select(*keys, *(F.col(c).alias(f"_{c}") for c in others if c in changes.columns))
+    return ratings.join(new, keys, "full").select(*keys, *(F.coalesce(f"_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in others))
+
+
+def merge_partners(merges: DataFrame) -> DataFrame:
+    """(recording_id, cluster_id, new_id, partners): for each cluster of a merge set the others it goes together with."""
+    sets = merges.groupBy("recording_id", "new_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("_all")).where(F.size("_all") > 1)
+    return sets.select("recording_id", F.explode("_all").alias("cluster_id"), "new_id", "_all").select("recording_id", "cluster_id", "new_id", F.array_except("_all", F.array("cluster_id")).alias("partners"))

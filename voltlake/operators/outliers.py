@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlake.runtime import checkpoint, small_side
 
-#: A recording with more rows than this, and than a thousandth of all, is split.
+
+#: A recording with more rows than this is split.
 HOT_ROWS = 20_000
 #: Robust spread of a normal distribution over its median absolute deviation.
 MAD_TO_SD = 1.4826
@@ -33,16 +35,12 @@ OCTAVE = 16
 
 
 def hot_salts(df: DataFrame, key: str, rows_each: int = HOT_ROWS) -> DataFrame:
-    """(key, salts) of the keys that hold more than a thousandth of all rows and ``rows_each``.
+    """(_hot, _salts) of the keys that hold more than ``rows_each`` rows: so many lanes that none holds many more.
 
-    There are at most a thousand of them, whatever the size of the table.
+    It comes ready to be joined: broadcast while there are few such keys, else as it is.
     """
-    counts = df.groupBy(key).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    each = max(rows_each, -(-total // 1000))
-    rows = counts.where(F.col("count") > each).collect()
-    kind = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame([(r[0], -(-r[1] // each)) for r in rows], f"_hot {kind}, _salts bigint")
+    counts = df.groupBy(F.col(key).alias("_hot")).count().where((F.col("count") > rows_each) & F.col("_hot").isNotNull())
+    return small_side(checkpoint(counts.select("_hot", F.ceil(F.col("count") / rows_each).alias("_salts"))), 100_000)
 
 
 def bad_channels(meta: DataFrame, key: str = "badChannels") -> DataFrame:
@@ -315,7 +313,7 @@ def _test(far: float, still: int):
 def _laid_out(snippets: DataFrame, hot: DataFrame) -> DataFrame:
     rows = snippets.where("valid and data is not null and channel_ids is not null and recording_id is not null")
     rows = rows.select("recording_id", "snippet_id", F.col("adc_bits").cast("int").alias("bits"), "channel_ids", "data")
-    rows = rows.join(F.broadcast(hot), rows["recording_id"] == hot["_hot"], "left")
+    rows = rows.join(hot, rows["recording_id"] == hot["_hot"], "left")
     salt = F.coalesce(F.pmod(F.xxhash64("snippet_id"), F.col("_salts")), F.lit(0))
     return rows.select("recording_id", salt.alias("salt"), "snippet_id", "bits", "channel_ids", "data").repartition("recording_id", "salt")
 
@@ -354,7 +352,7 @@ def faulty_traces(snippets: DataFrame, meta: DataFrame | None = None, far: float
         models = models.join(bad, models["recording_id"] == bad["_r"], "left").where("not coalesce(array_contains(bad, channel_id), false)")
     model = F.struct("channel_id", "level", "spread", "phi1", "phi2", "sigma")
     models = models.groupBy("recording_id").agg(F.collect_list(model).alias("models"))
-    models = models.join(F.broadcast(hot), models["recording_id"] == hot["_hot"], "left")
+    models = models.join(hot, models["recording_id"] == hot["_hot"], "left")
     models = models.select(F.col("recording_id").alias("_r"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)).cast("long") - 1)).alias("_s"), "models")
     joined = laid.join(models.hint("shuffle_hash"), (laid["recording_id"] == models["_r"]) & (laid["salt"] == models["_s"]))
     found = joined.select("snippet_id", "bits", "channel_ids", "data", "models").mapInArrow(_test(far, still), "snippet_id bigint, channel_id int, beyond_limits boolean, stuck boolean, spiked boolean")

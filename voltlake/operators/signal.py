@@ -10,7 +10,7 @@ import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +109,30 @@ def transform_chunks(samples: DataFrame, keys: list[str], chain: list[Callable],
     last = F.floor((F.col(order) - 1 + halo) / chunk)
     rows = rows.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    with_index = [sum(p.default is p.empty for p in inspect.signature(fn).parameters.values()) > 1 for fn in chain]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rec in b.to_dict("records"):
-                pairs = {e["i"]: e["v"] for e in rec["_e"]}
-                idx = np.array(sorted(pairs))
-                x = np.array([pairs[i] for i in idx], np.int16).T
-                for fn in chain:
-                    x = fn(x, idx) if len(inspect.signature(fn).parameters) - sum(p.default is not p.empty for p in inspect.signature(fn).parameters.values()) > 1 else fn(x)
-                keep = (idx - 1) // chunk == rec["_chunk"]
-                yield pd.DataFrame({**{k: [rec[k]] * int(keep.sum()) for k in keys}, order: idx[keep], value: list(x.T[keep])})
+            for r in range(b.num_rows):
+                e = b.column(len(keys) + 1)[r].values
+                idx, first = np.unique(e.field("i").to_numpy(), return_index=True)
+                v = e.field("v")
+                x = v.flatten().to_numpy().reshape(len(v), -1)[first].T.astype(np.int16)
+                for fn, two in zip(chain, with_index):
+                    x = fn(x, idx) if two else fn(x)
+                keep = (idx - 1) // chunk == b.column(len(keys))[r].as_py()
+                x, idx = np.ascontiguousarray(x.T[keep]), idx[keep]
+                offsets = pa.array(np.arange(len(idx) + 1, dtype=np.int32) * x.shape[1])
+                own = [b.column(k).take(pa.array(np.full(len(idx), r))) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(idx), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], [*keys, order, value])
 
     grouped = rows.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct(F.col(order).alias("i"), F.col(value).alias("v"))).alias("_e"))
-    return grouped.mapInPandas(run, f"{kinds}, {order} bigint, {value} array<smallint>")
+    return grouped.mapInArrow(run, f"{kinds}, {order} bigint, {value} array<smallint>")
+
+
+def read_window(samples: DataFrame, keys: list[str], first: int, last: int, scale: float | None = None, order: str = "sample_idx", value: str = "x") -> DataFrame:
+    """Samples ``first`` (0 counts as 1) to ``last`` of each file, each once, in microvolts if a ``scale`` is given."""
+    rows = samples.where(F.col(value).isNotNull() & F.col(order).between(max(first, 1), last)).dropDuplicates([*keys, order])
+    if scale is None:
+        return rows
+    return rows.select(*keys, order, F.transform(value, lambda v: F.round(v * F.lit(scale), 5)).alias("uv"))

@@ -58,3 +58,20 @@ def closing(t: DataFrame, dim: str, keep: list[str], width: int, flag: str = "fl
     w = Window.partitionBy(*keep).orderBy(dim)
     grown = t.withColumn("_g", F.max(F.col(flag).cast("int")).over(w.rowsBetween(-(width - 1), 0)))
     return grown.withColumn("closed", F.min("_g").over(w.rowsBetween(0, width - 1)) == 1).drop("_g")
+
+
+def ragged(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """(*keys, out): the values of each cell as a list in the given order; rows with a null or zero subscript belong to none.
+
+    A cell is one row, so cells must be of a size that fits in one.
+    """
+    rows = df
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))).alias("_l"))
+    return lists.select(*keys, F.col("_l._v").alias(out))
+
+
+def inflated(df: DataFrame, skeleton: DataFrame, keys: list[str], fill: dict) -> DataFrame:
+    """The masked rows ``df`` on all places of ``skeleton``, with ``fill`` where there is none."""
+    return skeleton.select(*keys).join(df, keys, "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fill.items()})

@@ -65,3 +65,11 @@ def source_file(times: DataFrame, files: DataFrame, at: str) -> DataFrame:
     w = files.select("recording_id", "file_ord", "cat_start", "cat_stop")
     held = interval_join(times, w, ["recording_id"], at, "cat_start", "cat_stop", 1 << 24)
     return held.withColumn("source_idx", F.col(at) - F.col("cat_start") + 1).drop("cat_start", "cat_stop")
+
+
+def source_index(slots: DataFrame, spec: DataFrame, at: str, key: str) -> DataFrame:
+    """Slots of the shifted axis with ``source_idx``, the sample that fills them: of several the later interval's, 0 if none."""
+    inverse = spec.select("recording_id", "ord", F.col("idx_start").alias("_a"), "shift_start", (F.col("shift_start") + F.col("idx_stop") - F.col("idx_start")).alias("_stop"))
+    held = interval_join(slots.select("recording_id", key, at), inverse, ["recording_id"], at, "shift_start", "_stop", BUCKET)
+    best = held.groupBy(key).agg(F.max_by(F.col("_a") + F.col(at) - F.col("shift_start"), "ord").alias("source_idx"))
+    return slots.join(best, key, "left").withColumn("source_idx", F.coalesce("source_idx", F.lit(0)))

@@ -82,3 +82,18 @@ def active_regions(trials: DataFrame, pause_s: float) -> DataFrame:
 
 def relative_ms(spike_time: Column, start: Column, fs: Column) -> Column:
     return (spike_time - start) / fs * 1000
+
+
+def pick(trials: DataFrame, ids: list[int] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Trials whose id is among ``ids`` and lies in the closed range from ``first`` to ``last``, as far as given."""
+    at = F.col("trial_id")
+    ok = F.lit(True)
+    for given, test in ((ids, lambda v: at.isin(v)), (first, lambda v: at >= v), (last, lambda v: at <= v)):
+        ok = ok if given is None else ok & test(given)
+    return trials.where(ok)
+
+
+def smoothed(rates: DataFrame, radius: int) -> DataFrame:
+    """Rates with ``smooth``, the mean over ``radius`` trials of the same condition to either side."""
+    w = Window.partitionBy("recording_id", "cluster_id", "condition_id").orderBy("trial_id").rowsBetween(-radius, radius)
+    return rates.withColumn("smooth", F.avg("rate").over(w))

@@ -65,3 +65,11 @@ def rms_by_channel(rows: DataFrame) -> DataFrame:
     ss = F.aggregate(F.transform("x", lambda v: (v.cast("double") - F.col("_m")) * (v.cast("double") - F.col("_m"))), F.lit(0.0), lambda a, v: a + v)
     scaled = rows.withColumn("_m", mean).select("recording_id", "channel_id", (ss * F.col("scale_to_uv").cast("double") ** 2).alias("ss"), n.alias("n"))
     return scaled.groupBy("recording_id", "channel_id").agg(F.sqrt(F.sum("ss") / F.sum("n")).alias("rms_uv"))
+
+
+def median_waveforms(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and median absolute deviation per group, channel and time, in microvolts."""
+    uv = F.col("v").cast("double") * F.col("scale_to_uv").cast("double")
+    long = readings(rows).select(*keys, "channel_id", "t", uv.alias("v"))
+    med = long.groupBy(*keys, "channel_id", "t").agg(F.median("v").alias("med"))
+    return long.join(med, [*keys, "channel_id", "t"]).groupBy(*keys, "channel_id", "t").agg(F.first("med").alias("med"), F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))

@@ -89,6 +89,24 @@ med AS (SELECT recording_id, channel_id, count(*) AS n_readings, median(v) AS le
 sp AS (SELECT recording_id, channel_id, 1.4826 * median(abs(v - level)) AS spread FROM r JOIN med USING (recording_id, channel_id) GROUP BY 1, 2)
 """
 
+#: The segments with range factor, plain gain and bits, as a row of table ``c`` each.
+SEGMENTS_SQL = f"""
+WITH ai AS (
+  SELECT recording_id, {_P3_UNIT.format("coalesce(nullif(regexp_extract(min(trim(meta_value)), '[a-zA-Zµμ]+$'), ''), 'V')")} AS u
+  FROM recording_meta WHERE ltrim(meta_key, '~ ') = 'imAiRangeMax' AND trim(meta_value) <> '' GROUP BY recording_id),
+seg AS (SELECT DISTINCT recording_id, file_ord, gain, gain_unit, adc_bits, rmin, rmax, range_unit, ap_scale, note FROM concat_segments
+  WHERE gain IS NOT NULL AND rmin IS NOT NULL AND rmax IS NOT NULL AND adc_bits IS NOT NULL),
+a AS (SELECT seg.*, coalesce({_P3_UNIT.format("trim(range_unit)")},
+    {_P3_UNIT.format("nullif(regexp_extract(note, '(?:range unit = |min/max noted as |input range is written in |rmin and rmax: |ai limits in |full-scale limits, |range columns carry |limits typed over from the rig sheet .)([a-zA-Zµμ-]+)', 1), '')")},
+    ai.u, 'v') AS ru,
+    CASE WHEN lower(trim(gain_unit)) IN ('db', 'decibel', 'decibels') OR regexp_matches(note, '(gain is in dB|gain column: decibel|gain .dB.|amplifier setting logged as decibel)') THEN pow(10, gain / 20) ELSE gain END AS g,
+    CASE WHEN adc_bits > 64 THEN log2(adc_bits) ELSE adc_bits END AS b,
+    CAST(replace(regexp_extract(regexp_replace(ap_scale, '^1 code = ', ''), '[0-9]+[.,]?[0-9]*(?:[eE][-+]?[0-9]+)?'), ',', '.') AS DOUBLE) AS num,
+    {_P3_UNIT.format("regexp_extract(replace(replace(regexp_replace(regexp_replace(ap_scale, '^1 code = ', ''), '[0-9][0-9.,]*([eE][-+]?[0-9]+)?', ''), 'per code', ''), ' ', ''), '([a-zA-Zµμ]*[vV](?:olts?)?)', 1)")} AS su
+  FROM seg LEFT JOIN ai USING (recording_id)),
+c AS (SELECT *, {_P3_UV.format(u="ru")} AS f, {_P3_UV.format(u="su")} AS sf FROM a)
+"""
+
 ORACLES = {
     "p2_found": _P2
     + """, bad AS (
@@ -108,21 +126,8 @@ WHERE list_min(x) < -pow(2, adc_bits - 1) OR list_max(x) > pow(2, adc_bits - 1)
       CAST(sum(idx_to - idx_from + 1) FILTER (kind = 'period') AS BIGINT) AS covered,
       CAST(coalesce(sum(idx_to - idx_from + 1) FILTER (kind = 'gap'), 0) AS BIGINT) AS uncovered
       FROM found GROUP BY 1""",
-    "p3_found": f"""
-WITH ai AS (
-  SELECT recording_id, {_P3_UNIT.format("coalesce(nullif(regexp_extract(min(trim(meta_value)), '[a-zA-Zµμ]+$'), ''), 'V')")} AS u
-  FROM recording_meta WHERE ltrim(meta_key, '~ ') = 'imAiRangeMax' AND trim(meta_value) <> '' GROUP BY recording_id),
-seg AS (SELECT DISTINCT recording_id, file_ord, gain, gain_unit, adc_bits, rmin, rmax, range_unit, ap_scale, note FROM concat_segments
-  WHERE gain IS NOT NULL AND rmin IS NOT NULL AND rmax IS NOT NULL AND adc_bits IS NOT NULL),
-a AS (SELECT seg.*, coalesce({_P3_UNIT.format("trim(range_unit)")},
-    {_P3_UNIT.format("nullif(regexp_extract(note, '(?:range unit = |min/max noted as |input range is written in |rmin and rmax: |ai limits in |full-scale limits, |range columns carry |limits typed over from the rig sheet .)([a-zA-Zµμ-]+)', 1), '')")},
-    ai.u, 'v') AS ru,
-    CASE WHEN lower(trim(gain_unit)) IN ('db', 'decibel', 'decibels') OR regexp_matches(note, '(gain is in dB|gain column: decibel|gain .dB.|amplifier setting logged as decibel)') THEN pow(10, gain / 20) ELSE gain END AS g,
-    CASE WHEN adc_bits > 64 THEN log2(adc_bits) ELSE adc_bits END AS b,
-    CAST(replace(regexp_extract(regexp_replace(ap_scale, '^1 code = ', ''), '[0-9]+[.,]?[0-9]*(?:[eE][-+]?[0-9]+)?'), ',', '.') AS DOUBLE) AS num,
-    {_P3_UNIT.format("regexp_extract(replace(replace(regexp_replace(regexp_replace(ap_scale, '^1 code = ', ''), '[0-9][0-9.,]*([eE][-+]?[0-9]+)?', ''), 'per code', ''), ' ', ''), '([a-zA-Zµμ]*[vV](?:olts?)?)', 1)")} AS su
-  FROM seg LEFT JOIN ai USING (recording_id)),
-c AS (SELECT *, {_P3_UV.format(u="ru")} AS f, {_P3_UV.format(u="su")} AS sf FROM a)
+    "p3_found": SEGMENTS_SQL
+    + """
 SELECT recording_id, file_ord, CAST(round(round(rmin * f, 6)) AS BIGINT) AS rmin_uv, CAST(round(round(rmax * f, 6)) AS BIGINT) AS rmax_uv,
   CAST(round(g) AS BIGINT) AS gain_x, CAST(round(b) AS INT) AS bits,
   CAST(round(round(CASE WHEN ap_scale IS NULL THEN (rmax - rmin) * f * 1000 / pow(2, b) / g ELSE num * sf * 1000 END, 6)) AS BIGINT) AS scale_nv

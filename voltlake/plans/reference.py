@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions import scalars
 from voltlake.operators import channels as ch
-from voltlake.operators import curation, drift, joins, signal, templates, tensor, timeshift
+from voltlake.operators import curation, joins, signal, templates, tensor, timeshift
 from voltlake.operators import spikes as sp
 from voltlake.operators import trials as tr
 from voltlake.operators import waveforms as wf
 from voltlake.operators.outliers import bad_channels
 from voltlake.operators.units import segments_in_common_units
+from voltlake.plans import found
 from voltlake.runtime import table
+from voltlake.sources import ini
 
 FS = 30000.0
 BIN = 30_000_000
@@ -39,8 +41,10 @@ def query(sql: str | None = None):
     return add
 
 
-def _spikes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "spikes").select(*SPIKE).distinct()
+def _spikes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each spike once, with ``columns`` beside its id and recording, or with all that aren't features."""
+    wanted = [c for c in SPIKE if c in {"spike_id", "recording_id", *columns}] if columns else SPIKE
+    return table(spark, d, "spikes").select(*wanted).distinct()
 
 
 def _trials(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +62,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SP} SELECT recording_id, cluster_id, count(*) FILTER (NOT is_cutoff) AS n_spikes, count(*) FILTER (is_cutoff) AS n_cutoff, count(*) AS n_all FROM sp GROUP BY 1, 2")
 def agg01_cluster_counts(spark, d):
     """Spikes and cutoff spikes per cluster."""
-    return sp.cluster_counts(_spikes(spark, d))
+    return sp.cluster_counts(_spikes(spark, d, "cluster_id", "is_cutoff"))
 
 
 @query(f"""WITH {_SP}, per AS (SELECT recording_id, cluster_id, count(*) AS n, max(spike_time) AS last FROM sp GROUP BY 1, 2),
@@ -67,20 +71,20 @@ SELECT recording_id, CAST(sum(n) AS BIGINT) AS n_spikes, count(*) AS n_clusters,
 CAST(coalesce(sum(n) FILTER (n / seconds > 0.05), 0) AS BIGINT) AS spikes_fast FROM r GROUP BY 1""")
 def agg02_basic_stats(spark, d):
     """Per recording: spikes, clusters, seconds, clusters above a rate."""
-    return sp.basic_stats(_spikes(spark, d), FS, 0.05).withColumn("seconds", F.round("seconds", 6))
+    return sp.basic_stats(_spikes(spark, d, "cluster_id", "spike_time"), FS, 0.05).withColumn("seconds", F.round("seconds", 6))
 
 
 @query(f"WITH {_SP} SELECT recording_id, cluster_id, CAST(floor(spike_time / {BIN}) AS BIGINT) AS bin, count(*) AS n FROM sp GROUP BY 1, 2, 3")
 def agg07_binned_counts(spark, d):
     """Spikes per cluster and bin of time."""
-    return sp.binned_counts(_spikes(spark, d), BIN)
+    return sp.binned_counts(_spikes(spark, d, "cluster_id", "spike_time"), BIN)
 
 
 @query(f"""WITH {_SP}, b AS (SELECT recording_id, cluster_id, count(*) AS n, max(max(spike_time)) OVER (PARTITION BY recording_id) AS last FROM sp GROUP BY 1, 2)
 SELECT recording_id, cluster_id, round(n / (last / 30000.0)::DOUBLE, 9) AS mean_rate FROM b""")
 def agg08_mean_rate(spark, d):
     """Mean firing rate of each cluster over its recording."""
-    rows = _spikes(spark, d).groupBy(*sp.KEY).agg(F.count(F.lit(1)).alias("n"), F.max("spike_time").alias("t"))
+    rows = _spikes(spark, d, "cluster_id", "spike_time").groupBy(*sp.KEY).agg(F.count(F.lit(1)).alias("n"), F.max("spike_time").alias("t"))
     last = rows.groupBy("recording_id").agg(F.max("t").alias("last"))
     return rows.join(last, "recording_id").select(*sp.KEY, F.round(F.col("n") / (F.col("last") / FS), 9).alias("mean_rate"))
 
@@ -91,23 +95,14 @@ SELECT recording_id, cluster_id, min(bin) AS first_bin, max(bin) AS last_bin, CA
 round(sum(CASE WHEN step = 2 THEN 2 ELSE 1 END) / (max(bin) - min(bin) + 1)::DOUBLE, 9) AS share FROM l GROUP BY 1, 2""")
 def agg09_valid_span(spark, d):
     """Valid time span of each cluster."""
-    return sp.valid_span(sp.binned_counts(_spikes(spark, d), BIN)).withColumn("share", F.round("share", 9))
-
-
-@query(f"""WITH {_SP}, c AS (SELECT * FROM sp WHERE cluster_id < 3)
-SELECT a.recording_id, a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, CAST(round((b.spike_time - a.spike_time) / 60000.0) AS INT) AS bin, count(*) AS n
-FROM c a JOIN c b ON a.recording_id = b.recording_id AND a.cluster_id <> b.cluster_id AND abs(b.spike_time - a.spike_time) < 600000 GROUP BY ALL""")
-def agg10_ccg(spark, d):
-    """Cross-correlograms of the three first clusters of every recording."""
-    rows = _spikes(spark, d).where("cluster_id < 3")
-    return sp.correlogram(rows, rows, 60_000, 10, same=False).where("cluster_a <> cluster_b")
+    return sp.valid_span(sp.binned_counts(_spikes(spark, d, "cluster_id", "spike_time"), BIN)).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH {_SP} SELECT a.recording_id, a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, CAST(round((b.spike_time - a.spike_time) / 60000.0) AS INT) AS bin, count(*) AS n
 FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND a.cluster_id <> b.cluster_id AND abs(b.spike_time - a.spike_time) < 600000 GROUP BY ALL""")
-def agg10_ccg_all(spark, d):
+def agg10_ccg(spark, d):
     """Cross-correlograms of all pairs of clusters of every recording."""
-    rows = _spikes(spark, d)
+    rows = _spikes(spark, d, "cluster_id", "spike_time")
     return sp.correlogram(rows, rows, 60_000, 10, same=False).where("cluster_a <> cluster_b")
 
 
@@ -115,21 +110,21 @@ def agg10_ccg_all(spark, d):
 FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND a.cluster_id = b.cluster_id AND a.spike_id <> b.spike_id AND abs(b.spike_time - a.spike_time) < 600000 GROUP BY ALL""")
 def agg10_acg(spark, d):
     """Autocorrelogram of every cluster."""
-    rows = _spikes(spark, d)
+    rows = _spikes(spark, d, "cluster_id", "spike_time")
     return sp.correlogram(rows, rows, 60_000, 10, same=True)
 
 
 @query(f"WITH {_SP}, {_TR} SELECT spike_id, trial_id FROM sp JOIN tr ON sp.recording_id = tr.recording_id AND spike_time BETWEEN trial_start AND trial_stop")
 def jn02_segment(spark, d):
     """Spikes with each trial that holds them."""
-    return tr.segment(_spikes(spark, d).select("spike_id", "recording_id", "spike_time"), _trials(spark, d).select("recording_id", "trial_id", "trial_start", "trial_stop")).select("spike_id", "trial_id")
+    return tr.segment(_spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time"), _trials(spark, d).select("recording_id", "trial_id", "trial_start", "trial_stop")).select("spike_id", "trial_id")
 
 
 @query(f"""WITH {_SP}, {_TR}, e AS (SELECT *, coalesce(lead(trial_start) OVER (PARTITION BY recording_id ORDER BY trial_start, trial_id) - 1, trial_stop) AS hi FROM tr)
 SELECT spike_id, trial_id FROM sp JOIN e ON sp.recording_id = e.recording_id AND spike_time BETWEEN trial_start AND hi""")
 def jn02_segment_adjacent(spark, d):
     """Spikes with the trial last begun."""
-    return tr.segment_adjacent(_spikes(spark, d).select("spike_id", "recording_id", "spike_time"), _trials(spark, d)).select("spike_id", "trial_id")
+    return tr.segment_adjacent(_spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time"), _trials(spark, d)).select("spike_id", "trial_id")
 
 
 @query(f"""WITH {_SP}, {_TR}, c AS (SELECT DISTINCT recording_id, cluster_id FROM sp),
@@ -137,7 +132,7 @@ n AS (SELECT sp.recording_id, trial_id, cluster_id, count(*) AS n FROM sp JOIN t
 SELECT recording_id, trial_id, cluster_id, coalesce(n, 0) AS n FROM tr JOIN c USING (recording_id) LEFT JOIN n USING (recording_id, trial_id, cluster_id)""")
 def agg03_trial_cluster_counts(spark, d):
     """Spikes per trial and cluster, zeros kept."""
-    s = _spikes(spark, d)
+    s = _spikes(spark, d, "cluster_id", "spike_time")
     return tr.trial_cluster_counts(s, _trials(spark, d), sp.clusters_of(s))
 
 
@@ -164,7 +159,7 @@ def agg05_condition_rates(spark, d):
 @query(f"WITH {_SP}, {_TR} SELECT spike_id FROM sp SEMI JOIN tr ON sp.recording_id = tr.recording_id AND spike_time BETWEEN trial_start AND trial_stop")
 def flt06_in_trials(spark, d):
     """Spikes inside any trial."""
-    return tr.in_trials(_spikes(spark, d), _trials(spark, d)).select("spike_id")
+    return tr.in_trials(_spikes(spark, d, "spike_time"), _trials(spark, d)).select("spike_id")
 
 
 @query(f"WITH {_TR} SELECT recording_id, trial_id, trial_start + CAST(round(100 * fs / 1000) AS BIGINT) AS trial_start, trial_start + CAST(round(500 * fs / 1000) AS BIGINT) AS trial_stop FROM tr")
@@ -206,13 +201,13 @@ def win03_excise(spark, d):
 @query(f"WITH {_SP}, {_SPEC} SELECT spike_id, spike_time - idx_start + shift_start AS shifted FROM sp JOIN spec ON sp.recording_id = spec.recording_id AND spike_time BETWEEN idx_start AND idx_stop")
 def jn09_shift(spark, d):
     """Spike times with the gaps between active regions cut out."""
-    return timeshift.shift(_spikes(spark, d).select("spike_id", "recording_id", "spike_time"), _spec(spark, d), "spike_time").select("spike_id", "shifted")
+    return timeshift.shift(_spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time"), _spec(spark, d), "spike_time").select("spike_id", "shifted")
 
 
 @query(f"WITH {_SP}, {_SPEC} SELECT spike_id, spike_time AS source FROM sp JOIN spec ON sp.recording_id = spec.recording_id AND spike_time BETWEEN idx_start AND idx_stop")
 def jn09_round_trip(spark, d):
     """Shifted spike times brought back."""
-    moved = timeshift.shift(_spikes(spark, d).select("spike_id", "recording_id", "spike_time"), _spec(spark, d), "spike_time")
+    moved = timeshift.shift(_spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time"), _spec(spark, d), "spike_time")
     return timeshift.unshift(moved.select("spike_id", "recording_id", "shifted"), _spec(spark, d), "shifted").select("spike_id", "source")
 
 
@@ -234,13 +229,13 @@ def win03_concatenated(spark, d):
 @query(f"WITH {_SP}, {_CAT} SELECT spike_id, file_ord, spike_time - (cat_stop - samples_pre_shift + 1) + 1 AS source_idx FROM sp JOIN cat ON sp.recording_id = cat.recording_id AND spike_time BETWEEN cat_stop - samples_pre_shift + 1 AND cat_stop")
 def jn08_source_file(spark, d):
     """The file a spike stems from and its index there."""
-    return timeshift.source_file(_spikes(spark, d).select("spike_id", "recording_id", "spike_time"), timeshift.concatenated(_files(spark, d)), "spike_time").select("spike_id", "file_ord", "source_idx")
+    return timeshift.source_file(_spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time"), timeshift.concatenated(_files(spark, d)), "spike_time").select("spike_id", "file_ord", "source_idx")
 
 
 @query(f"WITH {_SP} SELECT spike_id, CAST(floor((spike_time - 1) * 2500.0::DOUBLE / 30000.0::DOUBLE) + 1 AS BIGINT) AS idx_lf FROM sp")
 def jn17_sample_rate(spark, d):
     """Spike times in samples of the slow band."""
-    return _spikes(spark, d).select("spike_id", scalars.convert_sample(F.col("spike_time"), FS, 2500.0).alias("idx_lf"))
+    return _spikes(spark, d, "spike_time").select("spike_id", scalars.convert_sample(F.col("spike_time"), FS, 2500.0).alias("idx_lf"))
 
 
 _WIN = "win AS (SELECT recording_id, window_ord, w_lo, w_hi FROM (VALUES (1, 1, 20000000), (2, 20000000, 40000000), (3, 50000000, 60000000)) v(window_ord, w_lo, w_hi), (SELECT DISTINCT recording_id FROM sp))"
@@ -254,21 +249,21 @@ def _windows(spark, s):
 @query(f"WITH {_SP}, {_WIN} SELECT spike_id, max(window_ord) AS window_ord FROM sp LEFT JOIN win ON sp.recording_id = win.recording_id AND spike_time BETWEEN w_lo AND w_hi GROUP BY 1")
 def jn04_discretize(spark, d):
     """The window each spike falls in; the later one on a shared edge."""
-    s = _spikes(spark, d).select("spike_id", "recording_id", "spike_time")
+    s = _spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time")
     return joins.discretize(s, _windows(spark, s), ["recording_id"], "spike_time", 1 << 22, key_of_row="spike_id").select("spike_id", "window_ord")
 
 
 @query(f"WITH {_SP}, {_WIN} SELECT sp.recording_id, cluster_id, window_ord, count(*) AS n FROM sp JOIN win ON sp.recording_id = win.recording_id AND spike_time BETWEEN w_lo AND w_hi GROUP BY ALL")
 def agg11_window_counts(spark, d):
     """Spikes per window and cluster."""
-    s = _spikes(spark, d)
+    s = _spikes(spark, d, "cluster_id", "spike_time")
     return joins.interval_join(s, _windows(spark, s), ["recording_id"], "spike_time", "w_lo", "w_hi", 1 << 22).groupBy(*sp.KEY, "window_ord").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_SP}, {_WIN} SELECT spike_id FROM sp ANTI JOIN win ON sp.recording_id = win.recording_id AND spike_time BETWEEN w_lo AND w_hi UNION ALL SELECT spike_id FROM sp WHERE is_cutoff AND spike_time < 20000000")
 def set02_splice(spark, d):
     """Spikes with windows replaced by a second sorting."""
-    s = _spikes(spark, d)
+    s = _spikes(spark, d, "spike_time", "is_cutoff")
     return sp.splice(s, s.where("is_cutoff and spike_time < 20000000"), _windows(spark, s).drop("window_ord")).select("spike_id")
 
 
@@ -276,60 +271,55 @@ def set02_splice(spark, d):
 SELECT recording_id, cluster_id, spike_id, spike_time, next_id, lag FROM l WHERE lag BETWEEN 0 AND 50000""")
 def win01_auto_lag(spark, d):
     """Consecutive spikes of a cluster with a short lag."""
-    return sp.auto_lags(_spikes(spark, d), 0, 50_000)
+    return sp.auto_lags(_spikes(spark, d, "cluster_id", "spike_time"), 0, 50_000)
 
 
-@query(f"WITH {_SP} SELECT a.recording_id, a.spike_id AS id_a, b.spike_id AS id_b, b.spike_time - a.spike_time AS lag FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND a.cluster_id = 0 AND b.cluster_id = 1 AND b.spike_time - a.spike_time BETWEEN 10000 AND 110000")
+@query(f"WITH {_SP} SELECT a.recording_id, a.cluster_id, a.spike_id AS id_a, b.spike_id AS id_b, b.spike_time - a.spike_time AS lag FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND b.cluster_id = a.cluster_id + 1 AND b.spike_time - a.spike_time BETWEEN 10000 AND 110000")
 def jn06_pair_lag(spark, d):
-    """Spikes of cluster 1 at a lag of about two seconds to spikes of cluster 0."""
-    s = _spikes(spark, d)
-    return sp.pair_lags(s.where("cluster_id = 0"), s.where("cluster_id = 1"), 60_000, 50_000)
+    """Spikes of the next cluster at a lag of about two seconds to the spikes of each cluster."""
+    s = _spikes(spark, d, "cluster_id", "spike_time")
+    return sp.pair_lags(s, s.withColumn("cluster_id", F.col("cluster_id") - 1), 60_000, 50_000, sp.KEY)
 
 
-@query(f"""WITH {_SP}, a AS (SELECT recording_id, spike_id, spike_time FROM sp WHERE cluster_id = 0), b AS (SELECT recording_id, cluster_id, spike_time FROM sp WHERE cluster_id IN (1, 2)),
-n AS (SELECT a.recording_id, a.spike_id, cluster_id, min(abs(b.spike_time - a.spike_time)) AS d FROM a JOIN b ON a.recording_id = b.recording_id AND abs(b.spike_time - a.spike_time) <= 300000 GROUP BY ALL)
+@query(f"""WITH {_SP}, n AS (SELECT a.recording_id, a.spike_id, b.cluster_id, min(abs(b.spike_time - a.spike_time)) AS d FROM sp a JOIN sp b ON a.recording_id = b.recording_id AND b.cluster_id IN (a.cluster_id + 1, a.cluster_id + 2) AND abs(b.spike_time - a.spike_time) <= 300000 GROUP BY ALL)
 SELECT recording_id, spike_id, max(d) AS width FROM n GROUP BY 1, 2 HAVING count(*) = 2""")
 def jn07_cover(spark, d):
-    """Tightest windows around spikes of cluster 0 that hold spikes of clusters 1 and 2."""
-    return sp.cover(_spikes(spark, d), [0, 1, 2], 300_000)
+    """Tightest windows around the spikes of each cluster that hold spikes of the next two clusters."""
+    s = _spikes(spark, d, "cluster_id", "spike_time")
+    others = s.select("recording_id", "spike_time", F.col("cluster_id").alias("member"), F.explode(F.array(F.col("cluster_id") - 1, F.col("cluster_id") - 2)).alias("cluster_id"))
+    return sp.cover(s, others, 2, 300_000)
 
 
 @query(f"""WITH {_SP}, u AS (SELECT recording_id, cluster_id, template_id, count(*) AS n FROM sp WHERE template_id IS NOT NULL GROUP BY ALL)
 SELECT recording_id, cluster_id, template_id, n, round(n / sum(n) OVER (PARTITION BY recording_id, cluster_id)::DOUBLE, 9) AS share, CAST(row_number() OVER (PARTITION BY recording_id, cluster_id ORDER BY n DESC, template_id) AS INT) AS rank FROM u""")
 def agg12_template_use(spark, d):
     """Templates a cluster uses, by use."""
-    return sp.template_use(_spikes(spark, d)).withColumn("share", F.round("share", 9))
+    return sp.template_use(_spikes(spark, d, "cluster_id", "template_id")).withColumn("share", F.round("share", 9))
 
 
 @query(f"WITH {_SP} SELECT template_id, round(avg(amplitude), 6) AS mean_amplitude, count(*) AS n FROM sp GROUP BY 1")
 def agg13_template_amplitude(spark, d):
     """Mean amplitude of each template."""
-    return _spikes(spark, d).groupBy("template_id").agg(F.round(F.avg("amplitude"), 6).alias("mean_amplitude"), F.count(F.lit(1)).alias("n"))
+    return _spikes(spark, d, "template_id", "amplitude").groupBy("template_id").agg(F.round(F.avg("amplitude"), 6).alias("mean_amplitude"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_SP} SELECT recording_id, cluster_id, spike_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, cluster_id ORDER BY amplitude DESC NULLS LAST, spike_id) AS rank FROM sp) WHERE rank <= 5")
 def top06_largest(spark, d):
     """The five largest spikes of each cluster."""
-    return sp.sample_per_cluster(_spikes(spark, d), 5, "largest").select(*sp.KEY, "spike_id", "rank")
+    return sp.sample_per_cluster(_spikes(spark, d, "cluster_id", "amplitude", "spike_time"), 5, "largest").select(*sp.KEY, "spike_id", "rank")
 
 
 @query(f"""WITH {_SP}, s AS (SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY spike_time, spike_id) AS INT) AS ord FROM sp) SELECT spike_id, ord FROM s""")
 def top01_sorted(spark, d):
     """Spikes numbered in time order within their recording."""
-    return _spikes(spark, d).select("spike_id", F.row_number().over(Window.partitionBy("recording_id").orderBy("spike_time", "spike_id")).alias("ord"))
-
-
-@query()
-def dup01_duplicates(spark, d):
-    """Spikes that duplicate an earlier one within 300 samples, greedily in time order."""
-    return sp.duplicates(_spikes(spark, d), 300)
+    return joins.numbered(_spikes(spark, d, "spike_time"), ["recording_id"], "spike_time", ["spike_id"], BIN, "ord").select("spike_id", F.col("ord").cast("int").alias("ord"))
 
 
 _PAIRS = "pr AS (SELECT DISTINCT recording_id, cluster_id AS a, cluster_id + 1 AS b FROM sp WHERE cluster_id % 4 < 2)"
 
 
 def _pairs(spark, d):
-    return sp.clusters_of(_spikes(spark, d)).where("cluster_id % 4 < 2").select("recording_id", F.col("cluster_id").alias("a"), (F.col("cluster_id") + 1).alias("b"))
+    return sp.clusters_of(_spikes(spark, d, "cluster_id")).where("cluster_id % 4 < 2").select("recording_id", F.col("cluster_id").alias("a"), (F.col("cluster_id") + 1).alias("b"))
 
 
 _MERGES = f"""{_SP}, {_PAIRS}, e AS (SELECT recording_id, a, b FROM pr UNION SELECT recording_id, b, a FROM pr),
@@ -346,11 +336,11 @@ def cur01_merge_sets(spark, d):
 @query(f"WITH RECURSIVE {_MERGES} SELECT spike_id, coalesce(new_id, sp.cluster_id) AS cluster_id, sp.cluster_id AS cluster_before FROM sp LEFT JOIN mg ON sp.recording_id = mg.recording_id AND sp.cluster_id = mg.cluster_id")
 def cur03_apply_merges(spark, d):
     """Spikes with merged cluster ids."""
-    return curation.apply_merges(_spikes(spark, d), curation.merge_sets(_pairs(spark, d))).select("spike_id", "cluster_id", "cluster_before")
+    return curation.apply_merges(_spikes(spark, d, "cluster_id"), curation.merge_sets(_pairs(spark, d))).select("spike_id", "cluster_id", "cluster_before")
 
 
 def _ratings(spark, d):
-    return sp.clusters_of(_spikes(spark, d)).select(*sp.KEY, (F.col("cluster_id") % 5).cast("int").alias("rating"), (F.col("cluster_id") % 2 == 0).alias("include_cutoff"))
+    return sp.clusters_of(_spikes(spark, d, "cluster_id")).select(*sp.KEY, (F.col("cluster_id") % 5).cast("int").alias("rating"), (F.col("cluster_id") % 2 == 0).alias("include_cutoff"))
 
 
 _RT = "rt AS (SELECT DISTINCT recording_id, cluster_id, CAST(cluster_id % 5 AS INT) AS rating, cluster_id % 2 = 0 AS include_cutoff FROM sp)"
@@ -371,7 +361,7 @@ def agg16_rating_counts(spark, d):
 @query(f"WITH {_SP}, {_RT} SELECT recording_id, cluster_id, rating FROM rt WHERE rating IN (3, 4) AND cluster_id % 3 <> 0")
 def flt12_usable(spark, d):
     """Clusters rated well and usable in both subgroups."""
-    flags = sp.clusters_of(_spikes(spark, d)).select(*sp.KEY, F.explode(F.array(F.lit(1), F.lit(2))).alias("subgroup")).withColumn("usable", F.col("cluster_id") % 3 != 0)
+    flags = sp.clusters_of(_spikes(spark, d, "cluster_id")).select(*sp.KEY, F.explode(F.array(F.lit(1), F.lit(2))).alias("subgroup")).withColumn("usable", F.col("cluster_id") % 3 != 0)
     return curation.usable(flags, _ratings(spark, d), [3, 4], [1, 2])
 
 
@@ -416,10 +406,10 @@ def fn04_spacing(spark, d):
     return ch.spacing(table(spark, d, "channels"), "pos_y")
 
 
-@query()
+@query(found.SEGMENTS_SQL + "SELECT recording_id, file_ord, round((rmax - rmin) * f / pow(2, b) / g, 6) AS scale_uv FROM c")
 def fn01_scales(spark, d):
-    """Microvolts of one code of every file, from range, bits and gain."""
-    u = segments_in_common_units(table(spark, d, "concat_segments"), table(spark, d, "recording_meta"))
+    """Microvolts of one code of every complete file, from range, bits and gain."""
+    u = segments_in_common_units(table(spark, d, "concat_segments"), table(spark, d, "recording_meta")).dropna(subset=["gain", "rmin", "rmax", "adc_bits"])
     return u.select("recording_id", "file_ord", F.round(ch.scale_to_uv(F.col("rmin_v"), F.col("rmax_v"), F.col("bits"), F.col("gain_factor")), 6).alias("scale_uv"))
 
 
@@ -436,9 +426,9 @@ SELECT recording_id, file_ord, band, sample_idx FROM l WHERE step = 1""")
 def win05_rising_edges(spark, d):
     """Samples where the lowest sync bit comes on."""
     rows = table(spark, d, "samples").where("sync_raw is not null").select("recording_id", "file_ord", "band", "sample_idx", "sync_raw").distinct()
-    on = scalars.bit(F.col("sync_raw"), 1)
-    w = Window.partitionBy("recording_id", "file_ord", "band").orderBy("sample_idx")
-    return rows.withColumn("step", on - F.lag(on).over(w)).where("step = 1").select("recording_id", "file_ord", "band", "sample_idx")
+    rows = rows.withColumn("bit1", scalars.bit(F.col("sync_raw"), 1)).drop("sync_raw")
+    rows = joins.with_previous(rows, ["recording_id", "file_ord", "band"], "sample_idx", [], ["bit1"], 1 << 16)
+    return rows.where("bit1 - prev_bit1 = 1").select("recording_id", "file_ord", "band", "sample_idx")
 
 
 @query(f"""WITH {_TC}, r AS (SELECT cluster_id, recording_id, channel_id, t, x[t]::DOUBLE * scale AS v FROM tc, range(1, 41) g(t))
@@ -497,13 +487,13 @@ def flt09_select_window(spark, d):
 @query(f"WITH {_SP} SELECT spike_id, false AS is_cutoff FROM sp")
 def set01_accept_cutoff(spark, d):
     """Cutoff spikes taken in."""
-    return sp.accept_cutoff(_spikes(spark, d)).select("spike_id", "is_cutoff")
+    return sp.accept_cutoff(_spikes(spark, d, "is_cutoff")).select("spike_id", "is_cutoff")
 
 
 @query(f"WITH {_SP} SELECT spike_id, cluster_id FROM sp WHERE NOT is_cutoff AND cluster_id IN (0, 2, 4)")
 def flt02_mask_clusters(spark, d):
     """Spikes of some clusters, without cutoff spikes."""
-    return _spikes(spark, d).where("not is_cutoff and cluster_id in (0, 2, 4)").select("spike_id", "cluster_id")
+    return _spikes(spark, d, "cluster_id", "is_cutoff").where("not is_cutoff and cluster_id in (0, 2, 4)").select("spike_id", "cluster_id")
 
 
 _LONG = f"{_TC}, long AS (SELECT snippet_id, recording_id, channel_id, t, x[t]::DOUBLE AS v FROM tc, range(1, 41) g(t))"
@@ -551,50 +541,16 @@ def win06_envelope(spark, d):
     return tensor.running_extreme(_long(spark, d), "t", ["snippet_id", "channel_id"]).groupBy("snippet_id", "channel_id").agg(F.count_distinct(F.col("envelope") + 0).alias("n_steps"))
 
 
-_DEEP = f"{_SP}, dp AS (SELECT *, (template_id * 20 + spike_id % 7)::DOUBLE AS depth FROM sp)"
-
-
-def _deep(spark, d):
-    return _spikes(spark, d).withColumn("depth", (F.col("template_id") * 20 + F.col("spike_id") % 7).cast("double"))
-
-
-_HIST = f"{_DEEP}, hist AS (SELECT recording_id, CAST(ceil(spike_time / 30000000) AS BIGINT) AS time_bin, CAST(floor(depth / 10) AS BIGINT) AS depth_bin, sum(spike_amplitude) AS weight, count(*) AS n FROM dp WHERE depth IS NOT NULL AND spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude) GROUP BY ALL)"
-
-
-@query(f"WITH {_HIST} SELECT recording_id, time_bin, depth_bin, round(weight, 4) AS weight, n FROM hist")
-def sig18_depth_histogram(spark, d):
-    """Amplitude by depth and stretch of time."""
-    return drift.depth_histogram(_deep(spark, d), 10.0, BIN).withColumn("weight", F.round("weight", 4))
-
-
-@query(f"""WITH {_HIST}, first AS (SELECT recording_id, depth_bin AS d, weight AS w FROM hist QUALIFY time_bin = min(time_bin) OVER (PARTITION BY recording_id)),
-sc AS (SELECT recording_id, time_bin, depth_bin - d AS shift, sum(weight * w) AS score FROM hist JOIN first USING (recording_id) WHERE abs(depth_bin - d) <= 4 GROUP BY ALL)
-SELECT recording_id, time_bin, shift * 10.0::DOUBLE AS offset_um FROM sc QUALIFY row_number() OVER (PARTITION BY recording_id, time_bin ORDER BY score DESC, abs(shift), shift DESC) = 1""")
-def sig18_offsets(spark, d):
-    """Shift of each stretch's depth histogram against the first."""
-    return drift.offsets(drift.depth_histogram(_deep(spark, d), 10.0, BIN), 10.0, 4)
-
-
-@query(f"""WITH {_DEEP}, u AS (SELECT recording_id, cluster_id, median(depth) AS usual FROM dp WHERE depth IS NOT NULL GROUP BY 1, 2),
-p AS (SELECT recording_id, cluster_id, CAST(floor(spike_time / 30000000) AS BIGINT) AS time_bin, median(depth) AS depth, count(*) AS n FROM dp WHERE depth IS NOT NULL GROUP BY 1, 2, 3)
-SELECT * FROM p JOIN u USING (recording_id, cluster_id) WHERE abs(depth - usual) > 2 AND n > 3""")
-def sig19_depth_jumps(spark, d):
-    """Stretches in which a cluster's depth is off its usual depth."""
-    return drift.depth_jumps(_deep(spark, d), BIN, 2.0, 3)
-
-
-@query(f"""WITH {_SP}, c AS (SELECT * FROM sp WHERE spike_amplitude IS NOT NULL AND NOT isnan(spike_amplitude)), q AS (SELECT recording_id, quantile_cont(spike_amplitude, 0.1) AS a, quantile_cont(spike_amplitude, 0.9) AS b FROM c GROUP BY 1)
-SELECT recording_id, CAST(greatest(1, least(20, floor((spike_amplitude - a) / (b - a) * 20) + 1)) AS INT) AS color_bin, count(*) AS n FROM c JOIN q USING (recording_id) GROUP BY 1, 2""")
-def vis02_amplitude_bins(spark, d):
-    """Spikes by the colour bin of their amplitude."""
-    return drift.amplitude_bins(_spikes(spark, d), 0.1, 0.9, 20).groupBy("recording_id", "color_bin").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
+@query("""WITH s AS (SELECT DISTINCT ON (recording_id, file_ord, band, sample_idx) recording_id, file_ord, band, sample_idx, x FROM samples WHERE sample_idx IS NOT NULL AND x IS NOT NULL ORDER BY recording_id, file_ord, band, sample_idx),
+u AS (SELECT recording_id, file_ord, band, sample_idx, (sample_idx - 1) // 65536 AS chunk, unnest(range(1, len(x) + 1)) AS c, unnest(x)::DOUBLE AS v FROM s),
+m AS (SELECT recording_id, file_ord, band, chunk, c, round(median(v)) AS cm FROM u GROUP BY ALL),
+p AS (SELECT u.*, greatest(-32768, least(32767, round(v - cm))) AS q FROM u JOIN m USING (recording_id, file_ord, band, chunk, c)),
+k AS (SELECT recording_id, file_ord, band, sample_idx, round(median(q)) AS sm FROM p GROUP BY ALL)
+SELECT recording_id, file_ord, band, sample_idx, list(CAST(greatest(-32768, least(32767, round(q - sm))) AS SMALLINT) ORDER BY c) AS x FROM p JOIN k USING (recording_id, file_ord, band, sample_idx) GROUP BY ALL""")
 def sig01_common_average(spark, d):
-    """Samples of the fast band less the medians of their chunk."""
-    rows = table(spark, d, "samples").where("band = 'ap'").select("recording_id", "file_ord", "sample_idx", "x")
-    return signal.transform_chunks(rows, ["recording_id", "file_ord"], [signal.common_average], 1 << 16)
+    """Samples of both bands less the medians of their chunk."""
+    rows = table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x")
+    return signal.transform_chunks(rows, ["recording_id", "file_ord", "band"], [signal.common_average], 1 << 16)
 
 
 def _events(spark, d):
@@ -655,7 +611,7 @@ def _snippet_windows(spark, d):
 @query(f"WITH {_SP}, {_SW} SELECT window_id, spike_id FROM sp JOIN sw ON sp.recording_id = sw.recording_id AND spike_time BETWEEN w_lo - 20000 AND w_hi + 20000")
 def jn11_overlap(spark, d):
     """Spikes whose surroundings touch a snippet's window."""
-    return templates.overlapping(_spikes(spark, d), _snippet_windows(spark, d), 20_000, 20_000).select("window_id", "spike_id")
+    return templates.overlapping(_spikes(spark, d, "spike_time"), _snippet_windows(spark, d), 20_000, 20_000).select("window_id", "spike_id")
 
 
 @query(f"""WITH {_SP}, {_SW}, tp(dt, w) AS (VALUES (-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)),
@@ -664,16 +620,7 @@ SELECT window_id, sample_idx, round(sum(v), 5) AS v FROM n GROUP BY 1, 2""")
 def sig08_reconstruct(spark, d):
     """What the spikes' templates add up to inside the snippets' windows."""
     taps = spark.createDataFrame([(-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)], "dt int, w double")
-    return templates.reconstruct(_spikes(spark, d), _snippet_windows(spark, d), taps, 2, 2).withColumn("v", F.round("v", 5))
-
-
-@query(f"""WITH {_SP}, sm AS (SELECT DISTINCT recording_id, sample_idx, x FROM samples WHERE file_ord = 1 AND band = 'ap')
-SELECT spike_id AS request_id, sample_idx - spike_time AS "offset", x[1] AS x1 FROM sp JOIN sm ON sp.recording_id = sm.recording_id AND sample_idx - spike_time BETWEEN -60 AND 60""")
-def sig06_snippet_samples(spark, d):
-    """Samples of the first file around each spike."""
-    s = table(spark, d, "samples").where("file_ord = 1 and band = 'ap'").select("recording_id", "sample_idx", "x").distinct()
-    req = _spikes(spark, d).select("recording_id", F.col("spike_id").alias("request_id"), F.col("spike_time").alias("at"))
-    return templates.snippet_samples(req, s, ["recording_id"], -60, 60).select("request_id", "offset", F.col("x")[0].alias("x1"))
+    return templates.reconstruct(_spikes(spark, d, "spike_time", "amplitude"), _snippet_windows(spark, d), taps, 2, 2).withColumn("v", F.round("v", 5))
 
 
 @query(f"""WITH {_SP}, {_CAT}, sm AS (SELECT DISTINCT recording_id, file_ord, band, sample_idx, x FROM samples),
@@ -681,7 +628,7 @@ ap AS (SELECT sm.recording_id, sm.file_ord, sample_idx + cat_stop - samples_pre_
 lf AS (SELECT spike_id, sp.recording_id, file_ord, CAST(floor((spike_time - (cat_stop - samples_pre_shift) - 1) * 2500.0::DOUBLE / 30000.0::DOUBLE) + 1 AS BIGINT) AS idx FROM sp JOIN cat ON sp.recording_id = cat.recording_id AND spike_time BETWEEN cat_stop - samples_pre_shift + 1 AND cat_stop)
 SELECT spike_id AS request_id, 'ap' AS band, file_ord, idx - spike_time AS "offset", x[1] AS x1 FROM sp JOIN ap ON sp.recording_id = ap.recording_id AND idx - spike_time BETWEEN -60 AND 60
 UNION ALL SELECT spike_id, 'lf', lf.file_ord, sample_idx - idx, x[1] FROM lf JOIN sm ON lf.recording_id = sm.recording_id AND lf.file_ord = sm.file_ord AND band = 'lf' AND sample_idx - idx BETWEEN -60 AND 60""")
-def sig06_snippet_samples_all(spark, d):
+def sig06_snippet_samples(spark, d):
     """Samples of every file and both bands around each spike, with the file they stem from.
 
     In the fast band a window goes on in the next file of the concatenation; in the slow band it is that
@@ -689,7 +636,7 @@ def sig06_snippet_samples_all(spark, d):
     """
     s = table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x").distinct()
     files = timeshift.concatenated(_files(spark, d))
-    rows = _spikes(spark, d).select("recording_id", F.col("spike_id").alias("request_id"), "spike_time")
+    rows = _spikes(spark, d, "spike_time").select("recording_id", F.col("spike_id").alias("request_id"), "spike_time")
     fast = s.where("band = 'ap'").join(files, ["recording_id", "file_ord"]).select("recording_id", (F.col("sample_idx") + F.col("cat_start") - 1).alias("sample_idx"), F.struct("file_ord", "x").alias("x"))
     ap = templates.snippet_samples(rows.withColumn("at", F.col("spike_time")), fast, ["recording_id"], -60, 60).select("request_id", F.lit("ap").alias("band"), "x.file_ord", "offset", F.col("x.x")[0].alias("x1"))
     at = timeshift.source_file(rows, files, "spike_time").withColumn("at", scalars.convert_sample(F.col("source_idx"), FS, 2500.0))
@@ -700,7 +647,7 @@ def sig06_snippet_samples_all(spark, d):
 @query(f"WITH {_SP} SELECT spike_id, CAST(floor((spike_time - 1) / 2000000) AS INT) AS batch FROM sp")
 def jn10_batches(spark, d):
     """The batch last begun at each spike."""
-    s = _spikes(spark, d).select("spike_id", "recording_id", "spike_time")
+    s = _spikes(spark, d, "spike_time").select("spike_id", "recording_id", "spike_time")
     last = s.groupBy("recording_id").agg(F.max("spike_time").alias("last"))
     marks = last.select("recording_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / 2_000_000).cast("int"))).alias("batch")).withColumn("start", F.col("batch").cast("long") * 2_000_000 + 1)
     return joins.as_of(s, marks, ["recording_id"], "spike_time", "start", "batch").select("spike_id", "batch")
@@ -714,8 +661,20 @@ def sig16_components(spark, d):
     return spark.createDataFrame([(i + 1, [float(x) for x in c], float(s)) for i, (c, s) in enumerate(zip(comps, share))], "component int, weights array<double>, share double")
 
 
-@query("SELECT recording_id, CAST(list_reduce(list_sort(list_distinct(list(CAST(gain AS BIGINT)))), lambda a, b: lcm(a, b)) AS BIGINT) AS common_gain FROM concat_segments WHERE gain = floor(gain) AND gain > 0 GROUP BY 1")
+@query("""WITH s AS (SELECT DISTINCT recording_id, file_ord, gain, CASE WHEN lower(trim(gain_unit)) IN ('db', 'decibel', 'decibels') OR regexp_matches(note, '(gain is in dB|gain column: decibel|gain .dB.|amplifier setting logged as decibel)') THEN pow(10, gain / 20) ELSE gain END AS g FROM concat_segments WHERE gain > 0),
+f AS (SELECT DISTINCT recording_id, file_ord, CAST(round(round(g, 6)) AS BIGINT) AS gain_x FROM s WHERE round(round(g, 6)) >= 1),
+c AS (SELECT recording_id, CAST(list_reduce(list_sort(list_distinct(list(gain_x))), lambda a, b: lcm(a, b)) AS BIGINT) AS common_gain FROM f GROUP BY 1)
+SELECT recording_id, file_ord, gain_x, common_gain, common_gain // gain_x AS times FROM f JOIN c USING (recording_id)""")
 def fn06_common_gain(spark, d):
-    """The gain to which all plain gains of a recording can be raised."""
-    lists = table(spark, d, "concat_segments").where("gain = floor(gain) and gain > 0").groupBy("recording_id").agg(F.array_sort(F.collect_set(F.col("gain").cast("long"))).alias("g"))
-    return lists.select("recording_id", F.aggregate("g", F.lit(1).cast("long"), lambda a, b: (a / scalars.gcd(a, b)).cast("long") * b).alias("common_gain"))
+    """The gain to which all files of a recording can be raised, and each file's multiplier."""
+    units = segments_in_common_units(table(spark, d, "concat_segments"), table(spark, d, "recording_meta"))
+    return ch.common_gains(units.select("recording_id", "file_ord", F.round(F.round("gain_factor", 6)).cast("long").alias("gain_x")).distinct())
+
+
+@query("""WITH m AS (SELECT DISTINCT recording_id, ltrim(meta_key, '~ ') AS k, trim(meta_value) AS v FROM recording_meta WHERE trim(meta_value) <> ''),
+w AS (SELECT recording_id, min(v) FILTER (k = 'nSavedChans') AS n, min(v) FILTER (k = 'imSampRate') AS fs, min(v) FILTER (k = 'imroTbl') AS t, min(v) FILTER (k = 'imHpFlt') AS hp, min(v) FILTER (k = 'syncBitNames') AS y FROM m GROUP BY 1)
+SELECT recording_id, TRY_CAST(n AS INT) AS n_channels, TRY_CAST(fs AS DOUBLE) AS fs, TRY_CAST(regexp_extract(t, '\\)\\(\\d+ \\d+ \\d+ (\\d+) (\\d+)', 1) AS INT) AS gain_ap, TRY_CAST(regexp_extract(t, '\\)\\(\\d+ \\d+ \\d+ (\\d+) (\\d+)', 2) AS INT) AS gain_lf,
+TRY_CAST(regexp_extract(hp, '\\d+') AS DOUBLE) AS highpass_hz, len(string_split_regex(y, '[;,]')) AS n_sync_names FROM w""")
+def src04_metadata(spark, d):
+    """Typed fields of every recording's metadata."""
+    return ini.recording_fields(table(spark, d, "recording_meta"))

@@ -71,3 +71,25 @@ def recording_file(name: str) -> tuple[str, int | None, str] | None:
     """Stem, probe number and band of a recording's file name, None if it isn't one."""
     m = re.match(_NAME, name)
     return (m[1], int(m[2]) if m[2] else None, m[3]) if m else None
+
+
+def recording_fields(meta: DataFrame) -> DataFrame:
+    """Typed fields per recording from its (recording_id, meta_key, meta_value) rows.
+
+    (n_channels, fs, gain_ap, gain_lf, highpass_hz, n_sync_names); the gains are the fourth and fifth number of the probe
+    table's first channel. A leading ``~`` of a key doesn't matter, blank values don't count, of several distinct values the
+    first in order is taken; what is missing or doesn't read as a number is null.
+    """
+    key, value = F.regexp_replace("meta_key", r"^[~ ]+", ""), F.trim("meta_value")
+    of = lambda k: F.min(F.when(key == k, value))
+    rows = meta.where(value != "").groupBy("recording_id").agg(*(of(k).alias(k) for k in ("nSavedChans", "imSampRate", "imroTbl", "imHpFlt", "syncBitNames")))
+    gain = lambda i: F.regexp_extract("imroTbl", r"\)\(\d+ \d+ \d+ (\d+) (\d+)", i).try_cast("int")
+    return rows.select(
+        "recording_id",
+        F.col("nSavedChans").try_cast("int").alias("n_channels"),
+        F.col("imSampRate").try_cast("double").alias("fs"),
+        gain(1).alias("gain_ap"),
+        gain(2).alias("gain_lf"),
+        F.regexp_extract("imHpFlt", r"(\d+)", 1).try_cast("double").alias("highpass_hz"),
+        F.when(F.col("syncBitNames").isNotNull(), F.size(F.split("syncBitNames", "[;,]"))).cast("long").alias("n_sync_names"),
+    )
