@@ -68,3 +68,10 @@ def merge_partners(merges: DataFrame) -> DataFrame:
     """(recording_id, cluster_id, new_id, partners): for each cluster of a merge set the others it goes together with."""
     sets = merges.groupBy("recording_id", "new_id").agg(F.array_sort(F.collect_set("cluster_id")).alias("_all")).where(F.size("_all") > 1)
     return sets.select("recording_id", F.explode("_all").alias("cluster_id"), "new_id", "_all").select("recording_id", "cluster_id", "new_id", F.array_except("_all", F.array("cluster_id")).alias("partners"))
+
+
+def resort(spikes: DataFrame, merges: DataFrame, ratings: DataFrame, accepted: list[int], duplicates: DataFrame) -> DataFrame:
+    """Spikes of merged clusters whose merged rating is accepted, without the duplicates (recording_id, spike_id)."""
+    good = merge_ratings(ratings, merges).where(F.col("rating").isin(accepted)).select("recording_id", "cluster_id")
+    kept = apply_merges(spikes, merges).join(good, ["recording_id", "cluster_id"], "left_semi")
+    return kept.join(duplicates.select("recording_id", "spike_id"), ["recording_id", "spike_id"], "left_anti")

@@ -51,15 +51,16 @@ def overlapping(spikes: DataFrame, windows: DataFrame, before: int, after: int)
     return interval_join(spikes, wide, ["recording_id"], "spike_time", "_lo", "_hi", BUCKET).drop("_lo", "_hi")
 
 
-def reconstruct(spikes: DataFrame, windows: DataFrame, taps: DataFrame, before: int, after: int) -> DataFrame:
-    """Sum of amplitude times template on every sample of a window that a spike reaches.
+def reconstruct(spikes: DataFrame, windows: DataFrame, templates: DataFrame, before: int, after: int) -> DataFrame:
+    """Sum of amplitude times template on every channel and sample of a window that a spike reaches: (window_id, channel_id, sample_idx, v).
 
-    ``taps`` (dt, w) is the template, of a fixed few rows: (window_id, sample_idx, v).
+    ``templates`` has (recording_id, template_id, channel_id, w), ``w`` from ``before`` samples before a spike to ``after`` after it.
     """
-    shape = F.array(*(F.struct(F.lit(r.dt).alias("dt"), F.lit(r.w).alias("w")) for r in taps.collect()))
-    near = overlapping(spikes, windows, before, after).select("window_id", "amplitude", "w_lo", "w_hi", "spike_time", F.inline(shape)).withColumn("sample_idx", F.col("spike_time") + F.col("dt"))
+    near = overlapping(spikes, windows, before, after).select("recording_id", "window_id", "template_id", "amplitude", "w_lo", "w_hi", "spike_time")
+    near = near.join(templates, ["recording_id", "template_id"]).select("window_id", "channel_id", "amplitude", "w_lo", "w_hi", "spike_time", F.posexplode("w").alias("_p", "_v"))
+    near = near.withColumn("sample_idx", F.col("spike_time") + F.col("_p") - before)
     inside = near.where(F.col("sample_idx").between(F.col("w_lo"), F.col("w_hi")))
-    return inside.groupBy("window_id", "sample_idx").agg(F.sum(F.col("amplitude") * F.col("w")).alias("v"))
+    return inside.groupBy("window_id", "channel_id", "sample_idx").agg(F.sum(F.col("amplitude") * F.col("_v")).alias("v"))
 
 
 def snippet_samples(requests: DataFrame, samples: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:

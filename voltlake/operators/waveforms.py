@@ -73,3 +73,14 @@ def median_waveforms(rows: DataFrame, keys: list[str]) -> DataFrame:
     long = readings(rows).select(*keys, "channel_id", "t", uv.alias("v"))
     med = long.groupBy(*keys, "channel_id", "t").agg(F.median("v").alias("med"))
     return long.join(med, [*keys, "channel_id", "t"]).groupBy(*keys, "channel_id", "t").agg(F.first("med").alias("med"), F.median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
+
+
+def stacked(rows: DataFrame) -> DataFrame:
+    """Traces less their median, divided by their largest deviation, lifted by their channel's place in the snippet."""
+    n = F.size("x")
+    sorted_ = F.array_sort(F.transform("x", lambda v: v.cast("double")))
+    median = (F.element_at(sorted_, F.expr("int((size(x) + 1) div 2)")) + F.element_at(sorted_, F.expr("int(size(x) div 2 + 1)"))) / 2
+    place = F.row_number().over(Window.partitionBy("snippet_id").orderBy("channel_id"))
+    rows = rows.where(n > 0).withColumn("_m", median).withColumn("x", F.transform("x", lambda v: v.cast("double") - F.col("_m")))
+    rows = rows.withColumns({"_t": F.nullif(F.array_max(F.transform("x", lambda v: F.abs(v))), F.lit(0.0)), "_p": place})
+    return rows.withColumn("x", F.transform("x", lambda v: v / F.col("_t") + F.col("_p"))).drop("_m", "_t", "_p")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voltlake.operators import drift, joins, metrics, tensor, timeshift
+from voltlake.operators import curation, drift, joins, metrics, signal, templates, tensor, timeshift
 from voltlake.operators import spikes as sp
 from voltlake.operators import trials as tr
 from voltlake.operators import waveforms as wf
+from voltlake.operators.units import segments_in_common_units
 from voltlake.plans import reference as ref
 from voltlake.plans.reference import BIN, _SP, _TC, _TR, _spikes, _traces, _trials
 from voltlake.runtime import table
+from voltlake.sources import recording
+from voltlake.streaming import binned
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -279,8 +282,6 @@ def flt11_groups(spark, d):
 @query("SELECT recording_id, file_ord, sample_idx, list_transform(any_value(x), lambda v: round(v * 0.78125::DOUBLE, 5)) AS uv FROM samples WHERE band = 'lf' AND x IS NOT NULL AND sample_idx BETWEEN 101 AND 400 GROUP BY 1, 2, 3")
 def flt14_window_uv(spark, d):
     """Slow-band samples 101 to 400 of each file in microvolts."""
-    from voltlake.operators import signal
-
     return signal.read_window(table(spark, d, "samples").where("band = 'lf'").select("recording_id", "file_ord", "sample_idx", "x"), ["recording_id", "file_ord"], 101, 400, 0.78125)
 
 
@@ -305,8 +306,6 @@ def set06_with_origin(spark, d):
 @query(f"WITH {_SP}, c AS (SELECT DISTINCT recording_id, cluster_id FROM sp), r AS (SELECT recording_id, CAST(template_id AS BIGINT) AS cluster_id, count(*) AS n FROM sp WHERE template_id IS NOT NULL GROUP BY 1, 2) SELECT recording_id, cluster_id, CASE WHEN n >= 100 THEN 3 WHEN n >= 10 THEN 2 WHEN n IS NOT NULL THEN 1 ELSE 0 END AS rating FROM c LEFT JOIN r USING (recording_id, cluster_id)")
 def jn16_realign_ratings(spark, d):
     """Ratings of templates by use, realigned to the clusters: missing ones get 0, extra ones go."""
-    from voltlake.operators import curation
-
     s = _spikes(spark, d, "cluster_id", "template_id")
     n = F.count(F.lit(1))
     rated = s.where("template_id is not null").groupBy("recording_id", F.col("template_id").cast("long").alias("cluster_id")).agg(F.when(n >= 100, 3).when(n >= 10, 2).otherwise(1).alias("rating"))
@@ -360,3 +359,85 @@ def src08_sync_scan(spark, d):
     rows = table(spark, d, "samples").where("sync_raw is not null").select("recording_id", "file_ord", "band", "sample_idx", "sync_raw").distinct()
     word = F.col("sync_raw").bitwiseAND(65535)
     return rows.groupBy("recording_id", "file_ord", "band").agg(F.min("sample_idx").alias("first"), F.max("sample_idx").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_or(word).alias("ever_on"))
+
+
+@query(f"WITH {_SP}, {_W}, {ref._SW}, n AS (SELECT window_id, channel_id, spike_time + t - 14 AS sample_idx, amplitude * v AS v FROM sp JOIN sw ON sp.recording_id = sw.recording_id AND spike_time BETWEEN w_lo - 26 AND w_hi + 13 JOIN tt ON sp.recording_id = tt.recording_id AND sp.template_id = tt.template_id WHERE spike_time + t - 14 BETWEEN w_lo AND w_hi) SELECT window_id, channel_id, sample_idx, round(sum(v), 4) AS v FROM n GROUP BY 1, 2, 3")
+def sig08_reconstruct(spark, d):
+    """What the spikes' scaled templates add up to on every channel inside the snippets' windows."""
+    s = _spikes(spark, d, "spike_time", "template_id", "amplitude")
+    return templates.reconstruct(s, ref._snippet_windows(spark, d), _templates(spark, d), 13, 26).withColumn("v", F.round("v", 4))
+
+
+@query(f"""WITH {_TC}, b AS (SELECT recording_id, cluster_id, channel_id, scale, x, list_avg([v::DOUBLE FOR v IN x[1:10]]) AS m FROM tc), r AS (SELECT recording_id, cluster_id, channel_id, t, (x[t]::DOUBLE - m) * scale AS v FROM b, range(1, 41) g(t))
+SELECT recording_id, cluster_id, channel_id, CAST(t AS INT) AS t, round(avg(v), 7) + 0 AS mean_uv FROM r GROUP BY 1, 2, 3, 4""")
+def sig07_waveforms(spark, d):
+    """Mean waveforms of clusters, each trace less the mean of its first ten readings."""
+    means = wf.mean_waveforms(wf.centred(_traces(spark, d), 10), ["recording_id", "cluster_id"])
+    return means.select("recording_id", "cluster_id", "channel_id", "t", (F.round("mean_uv", 7) + 0.0).alias("mean_uv"))
+
+
+_BATCH = f"""{_TC}, bt AS (SELECT recording_id, CAST(cluster_id * 1000 + sample_idx // {BIN} AS INT) AS template_id, channel_id, t, avg(x[t]::DOUBLE * scale) AS v FROM (SELECT tc.*, sn.sample_idx FROM tc JOIN sn USING (snippet_id)) q, range(1, 41) g(t) GROUP BY ALL),
+br AS (SELECT recording_id, template_id, channel_id, max(v) - min(v) AS r FROM bt GROUP BY 1, 2, 3), bl AS (SELECT *, max(r) OVER (PARTITION BY recording_id, template_id) AS top FROM br),
+bp AS (SELECT recording_id, template_id, any_value(top) AS amplitude, sum(r * pos_x) / nullif(sum(r), 0) AS x, sum(r * pos_y) / nullif(sum(r), 0) AS y FROM bl JOIN channels USING (channel_id) WHERE r >= 0.1 * top GROUP BY 1, 2),
+bn AS (SELECT recording_id, CAST(cluster_id * 1000 + sample_idx // {BIN} AS INT) AS template_id, count(*) AS n FROM sn GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_BATCH} SELECT recording_id, template_id // 1000 AS cluster_id, template_id % 1000 AS batch, n, round(amplitude, 4) AS amplitude, round(x, 4) AS x, round(y, 4) AS y FROM bp JOIN bn USING (recording_id, template_id)")
+def sig17_batch_metrics(spark, d):
+    """Per cluster and stretch of time: snippets, amplitude and place of their mean waveform."""
+    rows = _traces(spark, d).withColumn("cluster_id", (F.col("cluster_id") * 1000 + F.floor(F.col("sample_idx") / BIN)).cast("int"))
+    t = metrics.from_means(wf.mean_waveforms(rows, ["recording_id", "cluster_id"]))
+    n = rows.groupBy("recording_id", F.col("cluster_id").alias("template_id")).agg(F.count_distinct("snippet_id").alias("n"))
+    found = metrics.amplitudes(t).select(*metrics.TEMPLATE, F.round("amplitude", 4).alias("amplitude")).join(metrics.places(t, table(spark, d, "channels")), metrics.TEMPLATE).join(n, metrics.TEMPLATE)
+    return found.select("recording_id", F.floor(F.col("template_id") / 1000).cast("int").alias("cluster_id"), (F.col("template_id") % 1000).alias("batch"), "n", "amplitude", *(F.round(c, 4).alias(c) for c in "xy"))
+
+
+@query(f"WITH RECURSIVE {ref._MERGES}, st AS (SELECT recording_id, new_id, list_sort(list(cluster_id)) AS l FROM mg GROUP BY 1, 2 HAVING count(*) > 1) SELECT mg.recording_id, cluster_id, mg.new_id, list_filter(l, lambda c: c <> cluster_id) AS partners FROM mg JOIN st ON mg.recording_id = st.recording_id AND mg.new_id = st.new_id")
+def cur02_partners(spark, d):
+    """For each cluster of a merge set the others of the set."""
+    return curation.merge_partners(curation.merge_sets(ref._pairs(spark, d)))
+
+
+@query(f"WITH {_SP}, {ref._RT}, ch AS (SELECT recording_id, CAST(template_id AS BIGINT) AS cluster_id, CAST(least(count(*), 9) AS INT) AS rating FROM sp WHERE template_id IS NOT NULL GROUP BY 1, 2) SELECT recording_id, cluster_id, coalesce(ch.rating, rt.rating) AS rating, include_cutoff FROM rt FULL JOIN ch USING (recording_id, cluster_id)")
+def cur05_upsert(spark, d):
+    """Ratings with those of templates, by use, written over."""
+    use = _spikes(spark, d, "template_id").where("template_id is not null").groupBy("recording_id", F.col("template_id").cast("long").alias("cluster_id")).agg(F.least(F.count(F.lit(1)), F.lit(9)).cast("int").alias("rating"))
+    return curation.upsert(ref._ratings(spark, d), use)
+
+
+@query(f"""WITH RECURSIVE {_DUP}, {ref._PAIRS}, e AS (SELECT recording_id, a, b FROM pr UNION SELECT recording_id, b, a FROM pr),
+reach AS (SELECT recording_id, a AS cluster_id, a AS t FROM e UNION SELECT recording_id, a, b FROM e UNION SELECT r.recording_id, r.cluster_id, e.b FROM reach r JOIN e ON r.recording_id = e.recording_id AND r.t = e.a),
+mg AS (SELECT recording_id, cluster_id, min(t) AS new_id FROM reach GROUP BY 1, 2), {ref._RT},
+fin AS (SELECT rt.recording_id, coalesce(new_id, rt.cluster_id) AS cluster_id, max(rating) AS rating FROM rt LEFT JOIN mg ON rt.recording_id = mg.recording_id AND rt.cluster_id = mg.cluster_id GROUP BY 1, 2)
+SELECT sp.spike_id, coalesce(new_id, sp.cluster_id) AS cluster_id FROM sp LEFT JOIN mg ON sp.recording_id = mg.recording_id AND sp.cluster_id = mg.cluster_id JOIN fin ON fin.recording_id = sp.recording_id AND fin.cluster_id = coalesce(new_id, sp.cluster_id) AND fin.rating >= 3 ANTI JOIN du ON du.recording_id = sp.recording_id AND du.spike_id = sp.spike_id""")
+def cur06_resort(spark, d):
+    """The whole partial re-sort: cutoff spikes taken in, clusters merged, well rated ones kept, duplicates out."""
+    s = _spikes(spark, d, "cluster_id", "is_cutoff")
+    return curation.resort(sp.accept_cutoff(s), curation.merge_sets(ref._pairs(spark, d)), ref._ratings(spark, d), [3, 4], _duplicates(spark, d)).select("spike_id", "cluster_id")
+
+
+@query("""WITH s AS (SELECT DISTINCT recording_id, file_ord, samples_pre_shift, CASE WHEN lower(trim(gain_unit)) IN ('db', 'decibel', 'decibels') OR regexp_matches(note, '(gain is in dB|gain column: decibel|gain .dB.|amplifier setting logged as decibel)') THEN pow(10, gain / 20) ELSE gain END AS g FROM concat_segments),
+f AS (SELECT DISTINCT recording_id, file_ord, CAST(round(round(g, 6)) AS BIGINT) AS gain_x FROM s WHERE g > 0 AND round(round(g, 6)) >= 1),
+c AS (SELECT recording_id, CAST(list_reduce(list_sort(list_distinct(list(gain_x))), lambda a, b: lcm(a, b)) AS BIGINT) AS cg FROM f GROUP BY 1),
+z AS (SELECT recording_id, file_ord, samples_pre_shift AS n, sum(samples_pre_shift) OVER (PARTITION BY recording_id ORDER BY file_ord) - samples_pre_shift AS before FROM (SELECT DISTINCT recording_id, file_ord, samples_pre_shift FROM s)),
+m AS (SELECT DISTINCT ON (recording_id, file_ord, sample_idx) recording_id, file_ord, sample_idx, x FROM samples WHERE band = 'ap' AND x IS NOT NULL ORDER BY recording_id, file_ord, sample_idx)
+SELECT recording_id, CAST(sample_idx + before AS BIGINT) AS cat_idx, file_ord, [CAST(greatest(-32768, least(32767, v::BIGINT * (cg // gain_x))) AS SMALLINT) FOR v IN x] AS x FROM m JOIN z USING (recording_id, file_ord) JOIN f USING (recording_id, file_ord) JOIN c USING (recording_id) WHERE sample_idx BETWEEN 1 AND n""")
+def snk02_concatenate(spark, d):
+    """Fast-band samples of all files of each recording on one axis, at the recording's common gain."""
+    units = segments_in_common_units(table(spark, d, "concat_segments"), table(spark, d, "recording_meta")).where("gain > 0")
+    gains = units.select("recording_id", "file_ord", F.round(F.round("gain_factor", 6)).cast("long").alias("gain_x")).distinct()
+    files = table(spark, d, "concat_segments").select("recording_id", "file_ord", "samples_pre_shift").distinct().join(gains, ["recording_id", "file_ord"], "left")
+    return recording.concatenate(table(spark, d, "samples").where("band = 'ap'").select("recording_id", "file_ord", "sample_idx", "x"), files)
+
+
+@query(f"WITH {_TC}, m AS (SELECT snippet_id, channel_id, x, list_median([v::DOUBLE FOR v IN x]) AS med FROM tc), r AS (SELECT snippet_id, channel_id, [v::DOUBLE - med FOR v IN x] AS x FROM m), t AS (SELECT *, list_max([abs(v) FOR v IN x]) AS top FROM r) SELECT snippet_id, channel_id, [round(v / nullif(top, 0) + row_number() OVER (PARTITION BY snippet_id ORDER BY channel_id), 7) FOR v IN x] AS x FROM t")
+def vis01_stacked(spark, d):
+    """Traces of each snippet less their median, at equal height, one above the other."""
+    return wf.stacked(_traces(spark, d)).select("snippet_id", "channel_id", F.transform("x", lambda v: F.round(v, 7)).alias("x"))
+
+
+@query("SELECT event_type, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS start_s, count(*) AS n FROM events GROUP BY 1, 2")
+def str02_windowed_counts(spark, d):
+    """Events by type in windows of an hour, by the function that streams use."""
+    rows = binned.counts_by_window(table(spark, d, "events").select("event_type", "ts"), "ts", "1 hour", ["event_type"])
+    return rows.select("event_type", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', window.start)").alias("start_s"), "n")

@@ -614,15 +614,6 @@ def jn11_overlap(spark, d):
     return templates.overlapping(_spikes(spark, d, "spike_time"), _snippet_windows(spark, d), 20_000, 20_000).select("window_id", "spike_id")
 
 
-@query(f"""WITH {_SP}, {_SW}, tp(dt, w) AS (VALUES (-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)),
-n AS (SELECT window_id, spike_time + dt AS sample_idx, amplitude * w AS v FROM sp JOIN sw ON sp.recording_id = sw.recording_id AND spike_time BETWEEN w_lo - 2 AND w_hi + 2, tp WHERE spike_time + dt BETWEEN w_lo AND w_hi)
-SELECT window_id, sample_idx, round(sum(v), 5) AS v FROM n GROUP BY 1, 2""")
-def sig08_reconstruct(spark, d):
-    """What the spikes' templates add up to inside the snippets' windows."""
-    taps = spark.createDataFrame([(-2, 0.25), (-1, -0.5), (0, -1.0), (1, 0.5), (2, 0.25)], "dt int, w double")
-    return templates.reconstruct(_spikes(spark, d, "spike_time", "amplitude"), _snippet_windows(spark, d), taps, 2, 2).withColumn("v", F.round("v", 5))
-
-
 @query(f"""WITH {_SP}, {_CAT}, sm AS (SELECT DISTINCT recording_id, file_ord, band, sample_idx, x FROM samples),
 ap AS (SELECT sm.recording_id, sm.file_ord, sample_idx + cat_stop - samples_pre_shift AS idx, x FROM sm JOIN cat ON sm.recording_id = cat.recording_id AND sm.file_ord = cat.file_ord WHERE band = 'ap'),
 lf AS (SELECT spike_id, sp.recording_id, file_ord, CAST(floor((spike_time - (cat_stop - samples_pre_shift) - 1) * 2500.0::DOUBLE / 30000.0::DOUBLE) + 1 AS BIGINT) AS idx FROM sp JOIN cat ON sp.recording_id = cat.recording_id AND spike_time BETWEEN cat_stop - samples_pre_shift + 1 AND cat_stop)

@@ -8,11 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
+#: Samples of an Arrow batch.
+BATCH = 4096
+
+
 class _Chunk(InputPartition):
     def __init__(self, path: str, first: int, count: int):
         super().__init__((path, first, count))
@@ -31,11 +36,14 @@ class _Reader(DataSourceReader):
             out += [_Chunk(p, lo, min(self.chunk, n - lo)) for lo in range(0, n, self.chunk)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         path, first, count = partition.value
         x = np.memmap(path, "<i2", "r", offset=2 * self.channels * first, shape=(count, self.channels))
-        for k in range(count):
-            yield path, first + k + 1, x[k].tolist()
+        for lo in range(0, count, BATCH):
+            part = np.ascontiguousarray(x[lo : lo + BATCH])
+            n = len(part)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * self.channels)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(first + lo + 1, first + lo + n + 1)), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], ["path", "sample_idx", "x"])
 
 
 class RawSource(DataSource):
