@@ -18,11 +18,12 @@ def test_principal_components(spark):
 
 
 def test_reconstruct_adds_up_overlapping_spikes(spark):
-    spikes = spark.createDataFrame([(1, 1, 10, 2.0), (2, 1, 11, 1.0), (3, 2, 10, 9.0)], "spike_id bigint, recording_id int, spike_time bigint, amplitude double")
+    spikes = spark.createDataFrame([(1, 1, 10, 5, 2.0), (2, 1, 11, 5, 1.0), (3, 2, 10, 5, 9.0), (4, 1, 10, 6, 9.0)], "spike_id bigint, recording_id int, spike_time bigint, template_id int, amplitude double")
     windows = spark.createDataFrame([(1, 7, 9, 12)], "recording_id int, window_id bigint, w_lo bigint, w_hi bigint")
-    taps = spark.createDataFrame([(-1, 1.0), (0, -2.0), (1, 1.0)], "dt int, w double")
-    got = {r.sample_idx: r.v for r in t.reconstruct(spikes, windows, taps, 1, 1).collect()}
-    assert got == {9: 2.0, 10: -3.0, 11: 0.0, 12: 1.0}
+    shapes = spark.createDataFrame([(1, 5, 3, [1.0, -2.0, 1.0]), (1, 5, 4, [0.0, 1.0, 0.0])], "recording_id int, template_id int, channel_id int, w array<double>")
+    got = {(r.channel_id, r.sample_idx): r.v for r in t.reconstruct(spikes, windows, shapes, 1, 1).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 3} == {9: 2.0, 10: -3.0, 11: 0.0, 12: 1.0}
+    assert {k[1]: v for k, v in got.items() if k[0] == 4} == {9: 0.0, 10: 2.0, 11: 1.0, 12: 0.0}
 
 
 def test_nearest_and_drift(spark):

@@ -78,19 +78,19 @@ def zero_phase_highpass(x: np.ndarray, cutoff: float, fs: float, order: int = 3)
 def notch_lines(x: np.ndarray, bins: int = 20, threshold: float = 10.0, widen: int = 3) -> np.ndarray:
     """Narrow lines taken out of the spectrum.
 
-    A frequency stands out if its weighted magnitude lies ``threshold`` robust deviations from
+    A frequency stands out if its magnitude, weighted by the frequency, lies ``threshold`` median deviations above
     the median of its band; it goes with ``widen`` neighbours on both sides.
     """
     n = x.shape[1]
     if n < 4 * bins:
         return x.copy()
     f = np.fft.rfft(x, axis=1)
-    mag = np.abs(f).mean(axis=0) * np.sqrt(np.arange(f.shape[1]))
+    mag = np.abs(f).mean(axis=0) * np.arange(f.shape[1])
     out = np.zeros(f.shape[1], bool)
     for part in np.array_split(np.arange(1, f.shape[1]), bins):
         med = np.median(mag[part])
         mad = np.median(np.abs(mag[part] - med))
-        out[part] = np.abs(mag[part] - med) > threshold * 1.4826 * max(mad, 1e-12)
+        out[part] = mag[part] - med > threshold * max(mad, 1e-12)
     for at in np.flatnonzero(out):
         out[max(1, at - widen) : at + widen + 1] = True
     f[:, out] = 0

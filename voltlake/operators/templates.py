@@ -69,22 +69,28 @@ def snippet_samples(requests: DataFrame, samples: DataFrame, keys: list[str], lo
     return got.select(*keys, "request_id", (F.col("_s") - F.col("_at")).alias("offset"), "x")
 
 
+def moments(rows: DataFrame, columns: list) -> DataFrame:
+    """(i, j, n, mean_i, mean_j, cov): means and covariances of all pairs of columns, in one aggregation; rows with a null are left out."""
+    names = [f"_{i}" for i in range(len(columns))]
+    x = rows.select(*(c.cast("double").alias(n) for c, n in zip(columns, names))).dropna()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.count(F.lit(1)).alias("n"), F.avg(names[i]).alias("mean_i"), F.avg(names[j]).alias("mean_j"), F.covar_samp(names[i], names[j]).alias("cov")) for i, j in pairs))
+    return x.agg(cells.alias("c")).select(F.inline("c"))
+
+
 def principal_components(rows: DataFrame, columns: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, components (one a row, largest element positive) and explained shares of the columns.
 
     The moments are one aggregation; only they come to the driver. Rows with a null are left out.
     """
-    names = [f"_{i}" for i in range(len(columns))]
-    x = rows.select(*(c.cast("double").alias(n) for c, n in zip(columns, names))).dropna()
-    sums = [F.sum(n) for n in names] + [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    got = x.agg(F.count(F.lit(1)), *sums).first()
-    n, d = got[0], len(names)
-    if n < 2:
+    d = len(columns)
+    got = moments(rows, columns).collect()
+    if not got or got[0]["n"] < 2:
         return np.full(d, np.nan), np.full((k, d), np.nan), np.full(k, np.nan)
-    mean = np.array(got[1 : d + 1]) / n
-    cov = np.zeros((d, d))
-    cov[np.triu_indices(d)] = got[d + 1 :]
-    cov = (cov + np.triu(cov, 1).T - n * np.outer(mean, mean)) / (n - 1)
+    mean, cov = np.zeros(d), np.zeros((d, d))
+    for r in got:
+        mean[r["i"]] = r["mean_i"]
+        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
     comps = vectors[:, order].T

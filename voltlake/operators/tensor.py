@@ -60,6 +60,14 @@ def closing(t: DataFrame, dim: str, keep: list[str], width: int, flag: str = "fl
     return grown.withColumn("closed", F.min("_g").over(w.rowsBetween(0, width - 1)) == 1).drop("_g")
 
 
+def opening(t: DataFrame, dim: str, keep: list[str], width: int, flag: str = "flag") -> DataFrame:
+    """Runs of flags shorter than ``width`` taken out (erosion, then dilation); beyond the ends no flag is set."""
+    w = Window.partitionBy(*keep).orderBy(dim)
+    back = w.rowsBetween(-(width - 1), 0)
+    shrunk = t.withColumn("_s", F.when(F.count(F.lit(1)).over(back) == width, F.min(F.col(flag).cast("int")).over(back)).otherwise(0))
+    return shrunk.withColumn("opened", F.max("_s").over(w.rowsBetween(0, width - 1)) == 1).drop("_s")
+
+
 def ragged(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """(*keys, out): the values of each cell as a list in the given order; rows with a null or zero subscript belong to none.
 

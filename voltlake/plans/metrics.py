@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltlake.functions import scalars
 from voltlake.operators import curation, drift, joins, metrics, signal, templates, tensor, timeshift
 from voltlake.operators import spikes as sp
 from voltlake.operators import trials as tr
@@ -441,3 +442,90 @@ def str02_windowed_counts(spark, d):
     """Events by type in windows of an hour, by the function that streams use."""
     rows = binned.counts_by_window(table(spark, d, "events").select("event_type", "ts"), "ts", "1 hour", ["event_type"])
     return rows.select("event_type", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01', window.start)").alias("start_s"), "n")
+
+
+_DM = """s AS (SELECT DISTINCT ON (recording_id, file_ord, band, sample_idx) recording_id, file_ord, band, sample_idx, x FROM samples WHERE sample_idx IS NOT NULL AND x IS NOT NULL ORDER BY recording_id, file_ord, band, sample_idx),
+u AS (SELECT recording_id, file_ord, band, sample_idx, (sample_idx - 1) // 65536 AS chunk, unnest(range(1, len(x) + 1)) AS c, unnest(x)::DOUBLE AS v FROM s),
+m AS (SELECT recording_id, file_ord, band, chunk, c, median(v) AS cm FROM u GROUP BY ALL),
+dm AS (SELECT recording_id, file_ord, band, sample_idx, list(CAST(greatest(-32768, least(32767, round(v - cm))) AS SMALLINT) ORDER BY c) AS x FROM u JOIN m USING (recording_id, file_ord, band, chunk, c) GROUP BY ALL)"""
+
+
+def _demeaned(spark, d):
+    return signal.transform_chunks(table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x"), ["recording_id", "file_ord", "band"], [signal.demean], 1 << 16)
+
+
+@query(f"WITH {_DM} SELECT * FROM dm")
+def sig03_demean(spark, d):
+    """Samples less their channel's median over the chunk."""
+    return _demeaned(spark, d)
+
+
+@query(f"WITH {_DM} SELECT *, 'processed' AS src FROM dm UNION ALL SELECT *, 'source' FROM s")
+def flt16_layers(spark, d):
+    """Processed samples and those they come from, layer by layer."""
+    raw = table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x").where("sample_idx is not null and x is not null").dropDuplicates(["recording_id", "file_ord", "band", "sample_idx"])
+    return joins.stacked({"processed": _demeaned(spark, d), "source": raw})
+
+
+@query("""WITH f AS (SELECT DISTINCT ON (spike_id) spike_id, pc_features AS p FROM spikes WHERE pc_features IS NOT NULL ORDER BY spike_id), w AS (SELECT p[1][1]::DOUBLE AS x0, p[1][2]::DOUBLE AS x1, p[1][3]::DOUBLE AS x2, p[2][1]::DOUBLE AS x3, p[2][2]::DOUBLE AS x4, p[2][3]::DOUBLE AS x5 FROM f), """
++ "a AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, count(*) AS n, avg(x{i}) AS mean_i, avg(x{j}) AS mean_j, covar_samp(x{i}, x{j}) AS cov FROM w" for i in range(6) for j in range(i, 6)) + ") SELECT i, j, n, round(mean_i, 4) AS mean_i, round(mean_j, 4) AS mean_j, round(cov, 3) AS cov FROM a")
+def sig16_moments(spark, d):
+    """Means and covariances of the spike features, from which the principal components follow."""
+    rows, f = ref._features(spark, d)
+    return templates.moments(rows, f).withColumns({"mean_i": F.round("mean_i", 4), "mean_j": F.round("mean_j", 4), "cov": F.round("cov", 3)})
+
+
+@query(f"WITH {_TC} SELECT snippet_id, channel_id, pos_x, pos_y FROM tc JOIN channels USING (channel_id)")
+def jn01_trace_positions(spark, d):
+    """Every trace with its channel's position; a channel that isn't in the map would be an error."""
+    rows = _traces(spark, d).select("snippet_id", "channel_id")
+    return joins.lookup(rows, table(spark, d, "channels").select("channel_id", "pos_x", "pos_y"), ["channel_id"])
+
+
+@query(f"WITH {_SP}, {_TR} SELECT spike_id, trial_id, round((spike_time - trial_start) / fs * 1000, 6) AS ms, spike_time AS back FROM sp JOIN tr ON sp.recording_id = tr.recording_id AND spike_time BETWEEN trial_start AND trial_stop")
+def fn02_times_in_trials(spark, d):
+    """Spikes in ms after the start of their trial, and brought back to samples."""
+    rows = tr.segment(_spikes(spark, d, "spike_time"), _trials(spark, d).select("recording_id", "trial_id", "trial_start", "trial_stop", "fs"))
+    ms = scalars.sample_to_ms(F.col("spike_time"), F.col("fs"), F.col("trial_start"))
+    return rows.select("spike_id", "trial_id", F.round(ms, 6).alias("ms"), scalars.ms_to_sample(ms, F.col("fs"), F.col("trial_start")).alias("back"))
+
+
+@query(f"WITH {_DM} SELECT recording_id, file_ord, band, sample_idx, [CAST(greatest(-32768, least(32767, round(v::DOUBLE * 700.5))) AS SMALLINT) FOR v IN x] AS x FROM s")
+def fn07_clamped(spark, d):
+    """Samples raised 700.5 times, rounded and clamped to 16 bits."""
+    rows = table(spark, d, "samples").select("recording_id", "file_ord", "band", "sample_idx", "x").where("sample_idx is not null and x is not null").dropDuplicates(["recording_id", "file_ord", "band", "sample_idx"])
+    return rows.withColumn("x", F.transform("x", lambda v: scalars.sat_int16(v.cast("double") * 700.5)))
+
+
+@query(f"WITH {_SP} SELECT DISTINCT recording_id, cluster_id FROM sp")
+def set05_clusters(spark, d):
+    """Every cluster of every recording."""
+    return sp.clusters_of(table(spark, d, "spikes"))
+
+
+@query(f"WITH {ref._LONG} SELECT snippet_id, channel_id, CAST(t AS INT) AS t, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY snippet_id, channel_id ORDER BY t) AS rank FROM long WHERE v <> 0) WHERE rank <= 3")
+def win08_first_set(spark, d):
+    """The three first readings of each trace that aren't zero."""
+    return tensor.first_nonzero(ref._long(spark, d), "t", ["snippet_id", "channel_id"], 3).select("snippet_id", "channel_id", "t", "rank")
+
+
+@query(f"""WITH {ref._LONG}, f AS (SELECT *, CASE WHEN v > 0 THEN 1 ELSE 0 END AS flag FROM long),
+g AS (SELECT *, max(flag) OVER b AS g, CASE WHEN count(*) OVER b = 4 THEN min(flag) OVER b ELSE 0 END AS s FROM f WINDOW b AS (PARTITION BY snippet_id, channel_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, min(g) OVER a AS c, max(s) OVER a AS o FROM g WINDOW a AS (PARTITION BY snippet_id, channel_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING))
+SELECT snippet_id, channel_id, count(*) FILTER (c = 1) AS n_closed, count(*) FILTER (o = 1) AS n_opened FROM h GROUP BY 1, 2""")
+def win10_closing_opening(spark, d):
+    """Readings above zero of each trace after gaps shorter than four are closed, and after runs shorter than four are taken out."""
+    keep = ["snippet_id", "channel_id"]
+    rows = ref._long(spark, d).withColumn("flag", F.col("v") > 0)
+    rows = tensor.opening(tensor.closing(rows, "t", keep, 4), "t", keep, 4)
+    return rows.groupBy(*keep).agg(F.count_if("closed").alias("n_closed"), F.count_if("opened").alias("n_opened"))
+
+
+@query(f"WITH {_SP}, b AS (SELECT recording_id, CAST(floor(spike_time / {BIN // 10}) AS BIGINT) AS bin, count(*) AS n FROM sp WHERE is_cutoff GROUP BY 1, 2), g AS (SELECT recording_id, unnest(range(0, CAST(floor(max(spike_time) / {BIN // 10}) AS BIGINT) + 1)) AS bin FROM sp GROUP BY 1) SELECT recording_id, bin, coalesce(n, 0) AS n FROM g LEFT JOIN b USING (recording_id, bin)")
+def fn12_inflated_bins(spark, d):
+    """Cutoff spikes per stretch of every recording, stretches without any filled with 0."""
+    s = _spikes(spark, d, "spike_time", "is_cutoff")
+    at = F.floor(F.col("spike_time") / (BIN // 10))
+    grid = s.groupBy("recording_id").agg(F.max(at).alias("_b")).select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("bin"))
+    counts = s.where("is_cutoff").groupBy("recording_id", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return tensor.inflated(counts, grid, ["recording_id", "bin"], {"n": 0})
