@@ -12,7 +12,7 @@ from voltlake.operators import waveforms as wf
 from voltlake.operators.units import segments_in_common_units
 from voltlake.plans import reference as ref
 from voltlake.plans.reference import BIN, _SP, _TC, _TR, _spikes, _traces, _trials
-from voltlake.runtime import table
+from voltlake.runtime import checkpoint, table
 from voltlake.sources import recording
 from voltlake.streaming import binned
 
@@ -45,7 +45,8 @@ dp AS (SELECT *, (q1 * x1 + q2 * x2) / nullif(q1 + q2, 0) AS x, (q1 * y1 + q2 *
 
 
 def _templates(spark, d):
-    return metrics.from_means(wf.mean_waveforms(_traces(spark, d), ["recording_id", "cluster_id"]).where("not isnan(mean_uv)"))
+    """Mean waveforms as templates; checkpointed, since several steps of a query read them and they are few."""
+    return checkpoint(metrics.from_means(wf.mean_waveforms(_traces(spark, d), ["recording_id", "cluster_id"]).where("not isnan(mean_uv)")))
 
 
 def _use(spark, d):
@@ -54,7 +55,9 @@ def _use(spark, d):
 
 def _deep(spark, d):
     """Spikes once each, with the place and amplitude that their features and template give."""
-    rows = table(spark, d, "spikes").select("spike_id", "recording_id", "cluster_id", "template_id", "spike_time", "amplitude", "pc_features").dropDuplicates(["spike_id"])
+    first = [F.get(F.get("pc_features", F.lit(c)), F.lit(0)).alias(f"_p{c}") for c in range(2)]
+    rows = table(spark, d, "spikes").select("spike_id", "recording_id", "cluster_id", "template_id", "spike_time", "amplitude", *first).dropDuplicates(["spike_id"])
+    rows = rows.withColumn("pc_features", F.array(F.array("_p0"), F.array("_p1"))).drop("_p0", "_p1")
     t, c = _templates(spark, d), table(spark, d, "channels")
     return metrics.spike_places(rows, metrics.best_channels(t, c, 2), c, metrics.amplitudes(t)).drop("pc_features")
 
@@ -195,7 +198,8 @@ hist AS (SELECT dp.recording_id, CAST(ceil(spike_time / 3000000) AS BIGINT) AS t
 
 
 def _hist(spark, d):
-    return drift.depth_histogram(drift.large_spikes(_deep(spark, d), LARGE), 5.0, 3_000_000)
+    spikes = checkpoint(_deep(spark, d).select("recording_id", "spike_time", "uv", "y"))
+    return checkpoint(drift.depth_histogram(drift.large_spikes(spikes, LARGE), 5.0, 3_000_000))
 
 
 @query(f"WITH {_HIST} SELECT recording_id, time_bin, depth_bin, round(weight, 3) AS weight, n FROM hist")
