@@ -71,6 +71,21 @@ def test_tiles_against_brute_force():
         assert sum(n for _, _, n in tiles) == brute_tiles(a, b, 3)
 
 
+def test_words_the_item_lacks_can_be_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        item = rng.integers(0, 30, rng.integers(0, 60))
+        item[: rng.integers(0, 10)] = -1
+        doc = rng.integers(0, 400, 300)
+        for _ in range(3):
+            k, n, at = rng.integers(0, max(1, len(item))), rng.integers(3, 40), rng.integers(0, 250)
+            part = item[k : k + n]
+            doc[at : at + len(part)] = np.where(part < 0, 999, part)
+        near = t.shared_words(doc, item)
+        assert len(near) <= len(doc) and t.longest_passage(near, item) == t.longest_passage(doc, item)
+        assert sorted(n for _, _, n in t.string_tiles(near, item)) == sorted(n for _, _, n in t.string_tiles(doc, item))
+
+
 def test_joins_that_are_not_broadcast(spark, monkeypatch):
     for name in ("MAX_SEEDS", "MAX_ITEMS", "MAX_PAIRS"):
         monkeypatch.setattr(t, name, 3)

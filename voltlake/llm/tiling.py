@@ -101,17 +101,31 @@ def seeds_of(ids: np.ndarray) -> np.ndarray:
     return h[bad[SEED:] == bad[:-SEED]].view(np.int64)
 
 
+def shared_words(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """A document in which words that the item lacks are -1, and stretches of them no longer than ends a passage."""
+    known = np.isin(doc, item) & (doc >= 0)
+    at = np.arange(len(doc))
+    last = np.maximum.accumulate(np.where(known, at, -1))
+    keep = at - last <= GAP + 1
+    return np.where(known, doc, -1)[keep]
+
+
+def _longest_run(ids: np.ndarray) -> int:
+    return int(np.diff(np.flatnonzero(ids < 0), prepend=-1, append=len(ids)).max()) - 1
+
+
 def string_tiles(a: np.ndarray, b: np.ndarray, shortest: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in a, place in b, length) of two arrays; negative numbers match nothing.
 
     Longest matches are marked first; no place is in two tiles.
     """
     tiles: list[tuple[int, int, int]] = []
-    if min(len(a), len(b)) < shortest:
+    most = min(_longest_run(a), _longest_run(b)) if len(a) and len(b) else 0
+    if most < shortest:
         return tiles
     free_a, free_b = a >= 0, b >= 0
     run_a, run_b = Running(a), Running(b)
-    length = 1 << max(2, int(min(len(a), len(b))).bit_length() - 1)
+    length = 1 << (most.bit_length() - 1)
     while True:
         length = max(length, shortest)
         open_a, open_b = (np.concatenate([[0], np.cumsum(f)]) for f in (free_a, free_b))
@@ -284,8 +298,9 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(known) > 100_000:
                     known.clear()
                 other = own[r].values.to_numpy()
-                tiles = string_tiles(ids, other)
-                known[at] = longest_passage(ids, other, tiles=tiles, least=MIN_WORDS), coverage(other, tiles)
+                near = shared_words(ids, other)
+                tiles = string_tiles(near, other)
+                known[at] = longest_passage(near, other, tiles=tiles, least=MIN_WORDS), coverage(other, tiles)
             n, share = known[at]
             if n >= MIN_WORDS or share >= COVER:
                 pick.append(r)
