@@ -157,3 +157,43 @@ def test_window_of_samples(spark):
     df = spark.createDataFrame(rows, "f int, sample_idx bigint, x array<smallint>")
     got = {r.sample_idx: r.uv for r in signal.read_window(df, ["f"], 0, 3, 0.5).collect()}
     assert got == {1: [0.5, -0.5], 2: [1.0, -1.0], 3: [1.5, -1.5]}
+
+
+def test_lowess_against_a_plain_fit():
+    rng = np.random.default_rng(4)
+    x = np.sort(rng.choice(100, 40, replace=False))
+    y = rng.normal(size=40)
+    got = drift.lowess(x, y, 0.3)
+    for i in range(40):
+        d = np.abs(x - x[i])
+        near = np.argsort(d, kind="stable")[:12]
+        if (np.sort(d)[11] == d).sum() > 1:
+            continue  # which of equally far points counts isn't settled, and it weighs nothing
+        w = np.clip(1 - (d[near] / d[near].max()) ** 3, 0, None) ** 3
+        a = np.polyfit(x[near], y[near], 1, w=np.sqrt(w))
+        assert abs(np.polyval(a, x[i]) - got[i]) < 1e-5
+    assert np.allclose(drift.lowess(np.arange(20), 3.0 * np.arange(20) + 1, 0.4), 3.0 * np.arange(20) + 1)
+    assert drift.lowess(np.arange(2), np.array([1.0, 5.0]), 0.5).tolist() == [1.0, 5.0] and len(drift.lowess(np.empty(0), np.empty(0), 0.5)) == 0
+
+
+def test_traces_are_smoothed_between_gaps(spark):
+    rows = [(1, 7, t, 2.0 * t, t == 20) for t in [*range(8), *range(20, 26)]] + [(2, 7, 3, 1.0, False)]
+    df = spark.createDataFrame(rows, "recording_id int, cluster_id bigint, time_bin bigint, depth double, after_gap boolean")
+    got = {(r.recording_id, r.time_bin): (r.part, round(r.smooth, 6)) for r in drift.smoothed_trace(df).collect()}
+    assert got == {(r, t): (int(r == 1 and t >= 20), 2.0 * t if r == 1 else 1.0) for r, _, t, *_ in rows}
+    assert drift.smoothed_trace(df.limit(0)).count() == 0
+
+
+def test_sections_by_blocks_are_those_sample_by_sample():
+    rng = np.random.default_rng(5)
+    sections = signal.butterworth_highpass(3, 300.0, 30000.0)
+    for n in (0, 1, 63, 64, 200):
+        x = rng.normal(size=(3, n))
+        want = x
+        for c in sections:
+            out = np.zeros_like(want)
+            for t in range(n):
+                u = lambda a, k: a[:, t - k] if t >= k else 0.0
+                out[:, t] = c[0] * u(want, 0) + c[1] * u(want, 1) + c[2] * u(want, 2) - c[3] * u(out, 1) - c[4] * u(out, 2)
+            want = out
+        assert np.allclose(signal._run_sections(x, sections, 64), want)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +92,48 @@ def amplitude_bins(spikes: DataFrame, low: float, high: float, bins: int, step:
     q = small_side(counted_quantiles(clean, ["recording_id"], F.col("spike_amplitude"), step, {"_lo": low, "_hi": high}).drop("n"), 500_000)
     at = F.floor((F.col("spike_amplitude") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins) + 1
     return clean.join(q, "recording_id").withColumn("color_bin", F.greatest(F.lit(1), F.least(F.lit(bins), at)).cast("int")).drop("_lo", "_hi")
+
+
+def lowess(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Locally weighted lines: at each point the fit to the nearest ``share`` of all points, at least three, with tricube weights."""
+    n = len(x)
+    k = min(n, max(3, int(np.ceil(share * n))))
+    if n < 3:
+        return y.astype(np.float64)
+    x, y, out = x.astype(np.float64), y.astype(np.float64), np.empty(n)
+    for lo in range(0, n, 512):
+        d = np.abs(x[lo : lo + 512, None] - x)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        d = np.take_along_axis(d, near, 1)
+        w = np.clip(1 - (d / np.maximum(d.max(1, keepdims=True) * (1 + 1e-9), 1e-12)) ** 3, 0, None) ** 3
+        u, v = x[near] - x[lo : lo + 512, None], y[near]
+        s, su, sv, suu, suv = w.sum(1), (w * u).sum(1), (w * v).sum(1), (w * u * u).sum(1), (w * u * v).sum(1)
+        det = s * suu - su**2
+        flat = det <= 1e-12 * np.maximum(s * suu, 1e-300)
+        out[lo : lo + 512] = np.where(flat, sv / s, (suu * sv - su * suv) / np.where(flat, 1.0, det))
+    return out
+
+
+def smoothed_trace(trace: DataFrame, share: float = 0.3) -> DataFrame:
+    """(recording_id, cluster_id, time_bin, part, smooth): depth traces smoothed by ``lowess`` between gaps.
+
+    ``trace`` is one of ``depth_trace``; ``part`` counts a cluster's stretches between gaps from 0. What is handled together are the
+    stretches of one part, at most as many as a recording has.
+    """
+    keys = ["recording_id", "cluster_id"]
+    w = Window.partitionBy(*keys).orderBy("time_bin").rowsBetween(Window.unboundedPreceding, 0)
+    rows = trace.withColumn("part", F.sum(F.col("after_gap").cast("int")).over(w))
+    lists = rows.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("time_bin", "depth"))).alias("l"))
+    kinds = ", ".join(f"{k} {trace.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(3)
+            at, e = own.offsets.to_numpy(), own.values
+            x, y = e.field("time_bin").to_numpy(), e.field("depth").to_numpy()
+            smooth = [lowess(x[lo:hi], y[lo:hi], share) for lo, hi in zip(at[:-1], at[1:])]
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(at)))
+            inner = slice(at[0], at[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(x[inner]), b.column(2).take(row), pa.array(np.concatenate([np.empty(0), *smooth]))], [*keys, "time_bin", "part", "smooth"])
+
+    return lists.mapInArrow(run, f"{kinds}, time_bin bigint, part bigint, smooth double")

@@ -56,15 +56,32 @@ def butterworth_highpass(order: int, cutoff: float, fs: float) -> list[np.ndarra
     return sections
 
 
-def _run_sections(x: np.ndarray, sections: list[np.ndarray]) -> np.ndarray:
+def _section(x: np.ndarray, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section over a short stretch, sample by sample: output and the two numbers it leaves."""
+    b0, b1, b2, a1, a2 = c
+    s1, s2 = state[:, 0], state[:, 1]
+    out = np.empty_like(x)
+    for t in range(x.shape[1]):
+        u = x[:, t]
+        v = b0 * u + s1
+        s1, s2 = b1 * u - a1 * v + s2, b2 * u - a2 * v
+        out[:, t] = v
+    return out, np.stack([s1, s2], 1)
+
+
+def _run_sections(x: np.ndarray, sections: list[np.ndarray], block: int = 256) -> np.ndarray:
+    """Sections one after the other, from rest. A stretch of ``block`` samples is one matrix product, since a section is linear in its input and state."""
     y = x.astype(np.float64)
-    for b0, b1, b2, a1, a2 in sections:
-        u1 = u2 = v1 = v2 = np.zeros(len(y))
-        out = np.empty_like(y)
-        for t in range(y.shape[1]):
-            u = y[:, t]
-            v = b0 * u + b1 * u1 + b2 * u2 - a1 * v1 - a2 * v2
-            out[:, t], u2, u1, v2, v1 = v, u1, u, v1, v
+    for c in sections:
+        out, state = np.empty_like(y), np.zeros((len(y), 2))
+        by_input, left_input = _section(np.eye(block), np.zeros((block, 2)), c)
+        by_state, left_state = _section(np.zeros((2, block)), np.eye(2), c)
+        whole = y.shape[1] // block * block
+        for lo in range(0, whole, block):
+            part = y[:, lo : lo + block]
+            out[:, lo : lo + block] = part @ by_input + state @ by_state
+            state = part @ left_input + state @ left_state
+        out[:, whole:], _ = _section(y[:, whole:], state, c)
         y = out
     return y
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from voltlake.functions import scalars
@@ -533,3 +535,16 @@ def fn12_inflated_bins(spark, d):
     grid = s.groupBy("recording_id").agg(F.max(at).alias("_b")).select("recording_id", F.explode(F.sequence(F.lit(0).cast("long"), "_b")).alias("bin"))
     counts = s.where("is_cutoff").groupBy("recording_id", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return tensor.inflated(counts, grid, ["recording_id", "bin"], {"n": 0})
+
+
+@query()
+def win07_smoothed(spark, d):
+    """Depth traces of clusters smoothed between gaps."""
+    return drift.smoothed_trace(_trace(spark, d)).withColumn("smooth", F.round("smooth", 3))
+
+
+@query()
+def sig02_highpass(spark, d):
+    """Fast-band samples after a high-pass filter of third order run forward and backward over each chunk and its neighbours' nearest samples."""
+    rows = table(spark, d, "samples").where("band = 'ap'").select("recording_id", "file_ord", "sample_idx", "x")
+    return signal.transform_chunks(rows, ["recording_id", "file_ord"], [partial(signal.zero_phase_highpass, cutoff=300.0, fs=30000.0)], 1 << 16, 1024)
