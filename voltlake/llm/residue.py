@@ -3,35 +3,38 @@
 A text is cut into segments (lines and sentences). A regularized logistic regression on hashed
 n-grams of words and of word shapes, length and title features scores every segment for three
 kinds of residue: an unfilled placeholder, filler, a piece of an error page. It is trained on weak labels
-from response-status lines and phrases, on a bounded sample of documents, and held against hosts it
+from response-status lines and phrases, of all documents, and held against all documents of hosts it
 hasn't seen. A document is residue if the classifier finds a placeholder or filler in it, or if
 pieces of error pages are all it has to say; no pattern is asked at that point.
 
-Features are worked out on the bytes of a whole Arrow batch at once. Training reads at most ``SAMPLE``
-documents of each of two strata; scoring reads every document whole, in one pass without a
-shuffle. What is broadcast is the weights, of a fixed size.
+Features are worked out on the bytes of a whole Arrow batch at once. Training takes each text once and each of
+its segments with the number of its copies; shards are trained on side by side and their results merged; scoring
+reads every document whole, in one pass without a shuffle. What is broadcast is the weights, of a fixed
+size, and for weak labels the openings of texts with a status.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.llm.rolling import Running
 from voltlake.runtime import spread
 
-#: Hash buckets of the features, and the most documents the classifier is trained on, for each
-#: of documents with a cue and without.
+#: Hash buckets of the features.
 BUCKETS = 1 << 18
-SAMPLE = 5_000
-#: Texts looked at for every document of a stratum, and bins they are counted in.
+#: Texts looked at for every document of a stratum that is drawn, and bins they are counted in.
 DRAW, BINS = 10, 4096
 KINDS = ("placeholder", "filler", "page")
 #: Bytes of text handled at once; longer texts are cut between lines or words.
@@ -93,6 +96,13 @@ def has_placeholder(segment: str) -> bool:
     return not USAGE.search(segment) and bool(PLACEHOLDER.search(segment.replace("htmltag", " ").replace("\x02", "«").replace("\x03", "»")))
 
 
+@lru_cache(1 << 16)
+def has_status(segment: str) -> bool:
+    """Whether the patterns see a response status, a refusal or a demand for scripts in a segment."""
+    return bool(STATUS.search(segment))
+
+
+@lru_cache(1 << 16)
 def opening(segment: str, words: int) -> str:
     """The first words of a segment, by which phrases of ordinary texts are known again."""
     return _NUMBER.sub("0", " ".join(segment.split(None, words)[:words]).lower())
@@ -102,9 +112,19 @@ def opening(segment: str, words: int) -> str:
 class Openings:
     """How segments begin: in ordinary texts; with a status, in texts that only discuss it; in pages."""
 
-    ordinary: frozenset[str] = frozenset()
-    discussed: frozenset[str] = frozenset()
-    pages: frozenset[str] = frozenset()
+    ordinary: Container[str] = frozenset()
+    discussed: Container[str] = frozenset()
+    pages: Container[str] = frozenset()
+
+
+@dataclass(frozen=True)
+class Except:
+    """All openings but those held."""
+
+    held: frozenset[str]
+
+    def __contains__(self, o: str) -> bool:
+        return o not in self.held
 
 
 def _known(parts: list[str], status: list[bool], o: Openings) -> list[bool]:
@@ -115,8 +135,14 @@ def _mostly(parts: list[str], known: list[bool]) -> bool:
     return 2 * sum(len(p) for p, k in zip(parts, known) if k) >= sum(map(len, parts))
 
 
+def _with_status(parts: list[str], status: list[bool], o: Openings) -> tuple[set[str], bool, set[str]]:
+    """Of a text with a status its openings if it is a page, whether it is mostly ordinary, and the openings of its statuses."""
+    known = _known(parts, status, o)
+    return set() if any(known) else {opening(p, 3) for p in parts}, _mostly(parts, known), {opening(p, 4) for p, s in zip(parts, status) if s}
+
+
 def openings(cut: list[list[str]], status: list[list[bool]]) -> Openings:
-    """The openings of a sample of texts, cut into segments.
+    """The openings of texts, cut into segments.
 
     Ordinary is how segments begin of which seven in ten stand in texts without any status. Of the texts
     with a status, some are mostly ordinary and discuss it, some hold nothing ordinary and are pages: a segment with a
@@ -130,10 +156,9 @@ def openings(cut: list[list[str]], status: list[list[bool]]) -> Openings:
     mixed, bare, pages = Counter(), Counter(), set()
     for parts, ss in zip(cut, status):
         if any(ss):
-            known = _known(parts, ss, ordinary)
-            if not any(known):
-                pages.update(opening(p, 3) for p in parts)
-            (mixed if _mostly(parts, known) else bare).update({opening(p, 4) for p, s in zip(parts, ss) if s})
+            own, plain, discussed = _with_status(parts, ss, ordinary)
+            pages.update(own)
+            (mixed if plain else bare).update(discussed)
     return Openings(ordinary.ordinary, frozenset(o for o, n in mixed.items() if n > bare[o]), frozenset(pages - ordinary.ordinary))
 
 
@@ -146,14 +171,18 @@ def weak_labels(parts: list[str], status: list[bool], o: Openings) -> list[tuple
     known = _known(parts, status, o)
     page = not any(known) and any(s or opening(p, 3) in o.pages for p, s in zip(parts, status))
     plain = _mostly(parts, known)
-    out = []
-    for p, k in zip(parts, known):
-        words = re.findall(r"[^\W\d_]+", p.lower())
-        latin = sum(w in LATIN for w in words)
-        filler = bool(FILLER.search(p)) or (len(words) >= 3 and latin * 2 >= len(words))
-        mentions = latin or "filler" in words or "dummy" in words
-        out.append((int(has_placeholder(p)), 1 if filler else (0 if not mentions or sum(w in FUNCTION for w in words) >= 2 else -1), 0 if k or plain or filler else 1 if page else -1))
-    return out
+    own = [_own_labels(p) for p in parts]
+    return [(placeholder, filler, 0 if k or plain or filler == 1 else 1 if page else -1) for (placeholder, filler), k in zip(own, known)]
+
+
+@lru_cache(1 << 16)
+def _own_labels(segment: str) -> tuple[int, int]:
+    """The weak labels that a segment has by itself, of a placeholder and of filler."""
+    words = re.findall(r"[^\W\d_]+", segment.lower())
+    latin = sum(w in LATIN for w in words)
+    filler = bool(FILLER.search(segment)) or (len(words) >= 3 and latin * 2 >= len(words))
+    mentions = latin or "filler" in words or "dummy" in words
+    return int(has_placeholder(segment)), 1 if filler else 0 if not mentions or sum(w in FUNCTION for w in words) >= 2 else -1
 
 
 def has_cue(text: str) -> bool:
@@ -166,9 +195,14 @@ def labelled(texts: list[str]) -> list[tuple[list[str], list[tuple[int, int, int
     """Prepared texts as segments and their weak labels."""
     cut = [segments(t) for t in texts]
     cue = [has_cue(t) for t in texts]
-    status = [[c and bool(STATUS.search(p)) for p in parts] for parts, c in zip(cut, cue)]
+    status = [[c and has_status(p) for p in parts] for parts, c in zip(cut, cue)]
     o = openings(cut, status)
-    return [(parts, weak_labels(parts, ss, o) if c or any(opening(p, 3) in o.pages for p in parts) else [(0, 0, 0)] * len(parts)) for parts, ss, c in zip(cut, status, cue)]
+    return [(parts, _labels(parts, ss, c, o)) for parts, ss, c in zip(cut, status, cue)]
+
+
+def _labels(parts: list[str], status: list[bool], cue: bool, o: Openings) -> list[tuple[int, int, int]]:
+    """The weak labels of a text, all 0 if it has neither a cue nor a page's opening."""
+    return weak_labels(parts, status, o) if cue or any(opening(p, 3) in o.pages for p in parts) else [(0, 0, 0)] * len(parts)
 
 
 # What a byte is: 0 space, 2 part of a word, else the mark itself. Words hash without case, digits as zeros.
@@ -283,48 +317,105 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(s: Segments, labels: np.ndarray, times: np.ndarray, penalty: float = 1e-6, steps: int = 480, batch: int = 1024) -> Model:
-    """Logistic regression by Adagrad on small batches, ``steps`` of them at least; labels of -1 are left out.
+#: Segments that one task trains on, times all segments are gone through with the shards' results merged in between,
+#: segments of a step, and steps of a shard at least.
+SHARD, ROUNDS, BATCH, STEPS = 200_000, 3, 1024, 480
+
 
-    ``times`` is how often each segment stands in the sample. Rows of the rarer class weigh more, up to five times.
+@dataclass(frozen=True)
+class Rows:
+    """Segments with their weak labels and how often they stand in the texts."""
+
+    segments: Segments
+    labels: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        each = [p.segments for p in parts]
+        begin = np.cumsum([0, *(len(s.tokens) for s in each)])
+        first = [s.first + b for s, b in zip(each, begin)]
+        columns = [[s.owner for s in each], [s.size for s in each], first, [s.tokens for s in each], [s.extra for s in each], [p.labels for p in parts], [p.times for p in parts]]
+        *own, labels, times = (np.concatenate(c) for c in columns)
+        return cls(Segments(*own), labels, times)
+
+    def sums(self) -> np.ndarray:
+        """How often segments stand with label 0 and with label 1, per kind."""
+        return np.stack([self.times @ (self.labels == v) for v in (0, 1)])
+
+    def held_against(self, model: Model) -> np.ndarray:
+        """How often segments stand of which the label is known, that have it, that the model finds, that are both, per kind."""
+        hit, known, true = model.scores(self.segments) > THRESHOLDS, self.labels >= 0, self.labels == 1
+        return np.stack([self.times @ x for x in (known, true, hit & known, hit & true)])
+
+    def trained(self, x: np.ndarray, seen: np.ndarray, up: np.ndarray, turn: int, penalty: float = 1e-6) -> np.ndarray:
+        """One round of logistic regression by Adagrad on small batches, from weights ``x`` (buckets, none, bias) and sums of squared gradients ``seen`` on.
+
+        Labels of -1 are left out, those of 1 count ``up`` times, a segment as often as it stands, up to twenty times. Returned are
+        the weights' changes times what ``seen`` has gained, and this gain: added up over shards, they give the mean change weighted by it.
+        """
+        s, y, n = self.segments, self.labels, len(self.segments.first)
+        if not n:
+            return np.zeros((2, *x.shape))
+        importance = np.where(y < 0, 0.0, np.where(y == 1, up, up > 0)) * np.minimum(self.times, 20)[:, None]
+        on = np.zeros(BUCKETS + 1, bool)
+        for buckets in (s.tokens, s.extra, BUCKETS):
+            on[buckets] = True
+        used, place = np.flatnonzero(on), (np.cumsum(on) - 1).astype(np.int32)
+        none, tokens, extra = len(used) - 1, place[s.tokens], place[s.extra]
+        w, squares, b, squares_b = x[used], seen[used], x[-1], seen[-1]
+        size = np.append(s.first[1:], len(s.tokens)) - s.first
+        rng = np.random.default_rng([42, turn])
+        batches = max(1, n // BATCH)
+        for _ in range(-(-STEPS // (ROUNDS * batches))):
+            for rows in np.array_split(rng.permutation(n), batches):
+                long = size[rows]
+                begin = np.cumsum(long) - long
+                grams = tokens[np.arange(long.sum()) - np.repeat(begin - s.first[rows], long)]
+                z = np.add.reduceat(w[grams].sum(1), begin, axis=0) + w[extra[rows]].sum(1) + b
+                off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.maximum(y[rows], 0)) * importance[rows]
+                # Frequent columns meet many rows of a batch; the step is that of their mean.
+                at = np.concatenate([grams.ravel(), extra[rows].ravel()])
+                who = np.concatenate([np.repeat(np.arange(len(rows)), long * grams.shape[1]), np.repeat(np.arange(len(rows)), extra.shape[1])])
+                for k in np.flatnonzero(up):
+                    grad = np.bincount(at, weights=off[who, k], minlength=len(used)) + penalty * len(rows) * w[:, k]
+                    grad[none] = 0
+                    squares[:, k] += grad**2
+                    w[:, k] -= 0.3 * grad / np.sqrt(squares[:, k])
+                squares_b = squares_b + off.sum(0) ** 2
+                b = b - 0.3 * off.sum(0) / np.sqrt(squares_b)
+        out = np.zeros((2, *x.shape))
+        out[1, used], out[1, -1] = squares - seen[used], squares_b - seen[-1]
+        out[0, used], out[0, -1] = out[1, used] * (w - x[used]), out[1, -1] * (b - x[-1])
+        return out
+
+
+def solve(sums: np.ndarray, trained: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]) -> Model:
+    """Regularized logistic regression from ``Rows.sums`` and ``Rows.trained``, each added up over all rows.
+
+    Rows of the rarer class weigh more, up to five times. A kind without any label of 1 gets a model that never finds it.
     """
-    weights, bias = np.zeros((BUCKETS + 1, len(KINDS)), np.float32), np.full(len(KINDS), -30.0)
-    n = len(s.first)
-    learnt = [k for k in range(len(KINDS)) if (labels[:, k] == 1).any()] if n else []
-    if not learnt:
-        return Model(weights, bias)
-    y = labels[:, learnt]
-    sums = lambda v: np.array([times[y[:, k] == v].sum() for k in range(len(learnt))], float)
-    up = np.clip(sums(0) / sums(1), 1, 5)
-    importance = np.where(y < 0, 0.0, np.where(y == 1, up, 1.0)) * np.minimum(times, 20)[:, None]
-    used, where = np.unique(np.concatenate([s.tokens.ravel(), s.extra.ravel(), [BUCKETS]]), return_inverse=True)
-    none = len(used) - 1
-    tokens, extra = where[: s.tokens.size].reshape(s.tokens.shape), where[s.tokens.size : -1].reshape(s.extra.shape)
-    w, seen = np.zeros((len(used), len(learnt))), np.full((len(used), len(learnt)), 1e-2)
-    b, seen_b = np.log(up * sums(1) / np.maximum(sums(0), 1)), 1e-2
-    size = np.append(s.first[1:], len(s.tokens)) - s.first
-    rng = np.random.default_rng(42)
-    batches = max(1, n // batch)
-    for _ in range(-(-steps // batches)):
-        for rows in np.array_split(rng.permutation(n), batches):
-            long = size[rows]
-            begin = np.cumsum(long) - long
-            grams = tokens[np.arange(long.sum()) - np.repeat(begin - s.first[rows], long)]
-            z = np.add.reduceat(w[grams].sum(1), begin, axis=0) + w[extra[rows]].sum(1) + b
-            off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - np.maximum(y[rows], 0)) * importance[rows]
-            # Frequent columns meet many rows of a batch; the step is that of their mean.
-            at = np.concatenate([grams.ravel(), extra[rows].ravel()])
-            who = np.concatenate([np.repeat(np.arange(len(rows)), long * grams.shape[1]), np.repeat(np.arange(len(rows)), extra.shape[1])])
-            for k in range(len(learnt)):
-                grad = np.bincount(at, weights=off[who, k], minlength=len(used)) + penalty * len(rows) * w[:, k]
-                seen[:, k] += grad**2
-                w[:, k] -= 0.3 * grad / np.sqrt(seen[:, k])
-            w[none] = 0
-            seen_b = seen_b + off.sum(0) ** 2
-            b -= 0.3 * off.sum(0) / np.sqrt(seen_b)
-    weights[used[:, None], np.array(learnt)] = w
-    bias[learnt] = b
-    return Model(weights, bias)
+    zeros, ones = sums
+    learnt = ones > 0
+    x, seen = np.zeros((BUCKETS + 2, len(KINDS))), np.full((BUCKETS + 2, len(KINDS)), 1e-2)
+    up = np.where(learnt, np.clip(zeros / np.maximum(ones, 1), 1, 5), 0)
+    x[-1] = np.where(learnt, np.log(np.maximum(up * ones, 1) / np.maximum(zeros, 1)), -30)
+    for turn in range(ROUNDS if learnt.any() else 0):
+        moved, gained = trained(x, seen, up, turn)
+        x += moved / np.where(gained > 0, gained, 1)
+        seen += gained
+    return Model(x[:-1].astype(np.float32), x[-1])
+
+
+def train(s: Segments, labels: np.ndarray, times: np.ndarray) -> Model:
+    """The model of segments in memory."""
+    rows = Rows(s, labels, times)
+    return solve(rows.sums(), rows.trained)
+
+
+@lru_cache(1 << 16)
+def _but_for_digits(segment: str) -> str:
+    return _NUMBER.sub(lambda m: m.group() if m.group()[0] in "45" and len(m.group()) == 3 else "0" * min(len(m.group()), 5), segment)
 
 
 def _rows(texts: list[str]) -> tuple[Segments, np.ndarray, np.ndarray]:
@@ -332,7 +423,7 @@ def _rows(texts: list[str]) -> tuple[Segments, np.ndarray, np.ndarray]:
     same: dict[tuple, list] = {}
     for parts, ys in labelled([prepared(t) for t in texts]):
         for j, (p, y) in enumerate(zip(parts, ys)):
-            same.setdefault((re.sub(r"\d+", lambda m: m.group() if m.group()[0] in "45" and len(m.group()) == 3 else "0" * min(len(m.group()), 5), p), j == 0, y), [p, 0])[1] += 1
+            same.setdefault((_but_for_digits(p), j == 0, y), [p, 0])[1] += 1
     s = featurize([p for p, _ in same.values()], [key[1] for key in same])
     ys = np.array([key[2] for key in same], np.int64).reshape(-1, len(KINDS))
     times = np.array([n for _, n in same.values()], float)
@@ -349,18 +440,26 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield x.append_column("kind", pa.array([int(has_cue(t)) for t in x.column(0).to_pylist()], pa.int32()))
 
 
-def training_documents(documents: DataFrame, sample: int = SAMPLE, unseen: int | None = None) -> list[str]:
-    """Texts of at most ``sample`` documents with a cue and as many without.
+def _counted(documents: DataFrame, unseen: int | None = None) -> DataFrame:
+    """Texts that aren't blank with two hashes (text, a, b), by which copies are known.
 
-    Each text counts once however many rows hold it. Of the texts with the smallest hashes, about ``DRAW * sample`` of
-    them, those of each stratum are counted by bins of the hash, and the bins that hold ``sample`` are collected.
     With ``unseen`` the documents of one host in five are left out (0) or taken alone (1).
     """
     host = F.pmod(F.xxhash64(F.coalesce("site_key", F.lit(""))), F.lit(5)) == 0
     docs = documents.where("text is not null and trim(text) <> ''")
     if unseen is not None:
         docs = docs.where(host if unseen else ~host)
-    docs = docs.select("text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    return docs.select("text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+
+
+def training_documents(documents: DataFrame, sample: int, unseen: int | None = None) -> list[str]:
+    """Texts of at most ``sample`` documents with a cue and as many without, to look labels through by hand.
+
+    Each text counts once however many rows hold it. Of the texts with the smallest hashes, about ``DRAW * sample`` of
+    them, those of each stratum are counted by bins of the hash, and the bins that hold ``sample`` are collected.
+    No query takes its model or figures from it.
+    """
+    docs = _counted(documents, unseen)
     rate = min(1.0, DRAW * sample / max(1, docs.agg(F.approx_count_distinct("a", 0.02)).first()[0]))
     h = F.pmod("a", F.lit(1 << 30)) / float(1 << 30)
     schema = "text string, a bigint, b bigint, kind int"
@@ -379,9 +478,118 @@ def training_documents(documents: DataFrame, sample: int = SAMPLE, unseen: int |
     return [r.text for r in sorted(kept.select("kind", "rank", "text").collect())]
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, unseen: int | None = None) -> Model:
-    """The model trained on weak labels of a bounded sample of ``documents``."""
-    return train(*_rows(training_documents(documents, sample, unseen)))
+def _lists(b: pa.RecordBatch) -> Iterator[tuple[list[str], list[bool], bool]]:
+    """Rows of ``_cut`` -> segments, whether each has a status, whether the text has a cue."""
+    for parts, status in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        parts = parts.split("\n")
+        yield parts, [False] * len(parts) if status is None else [x == "1" for x in status], status is not None
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    """(parts, status) of each text once: a line a segment, and a digit a segment, 1 with a status; null without a cue."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, status = [], []
+            for t in map(prepared, b.column(0).to_pylist()):
+                if own := segments(t):
+                    parts.append("\n".join(own))
+                    status.append("".join("01"[has_status(p)] for p in own) if has_cue(t) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array(status, pa.string())], ["parts", "status"])
+
+    return docs.dropDuplicates(["a", "b"]).select("text").mapInArrow(run, "parts string, status string")
+
+
+def _openings(cut: DataFrame) -> Openings:
+    """What ``openings`` finds, of all texts; ordinary are all openings but those that are collected."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = Counter(), Counter()
+            for parts, ss, _ in _lists(b):
+                both[any(ss)].update({opening(p, 3) for p, s in zip(parts, ss) if not s})
+            seen = list(both[0].keys() | both[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array([n[o] for o in seen], pa.int64()) for n in both)], ["opening", "plain", "other"])
+
+    n = cut.mapInArrow(counted, "opening string, plain bigint, other bigint").groupBy("opening").agg(F.sum("plain").alias("plain"), F.sum("other").alias("other"))
+    rare = n.where(F.col("plain") < F.lit(0.7) * (F.col("plain") + F.col("other"))).select("opening")
+    ordinary = Openings(Except(frozenset(rare.toArrow().column(0).to_pylist())))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = Counter()
+            for parts, ss, _ in _lists(b):
+                own, plain, discussed = _with_status(parts, ss, ordinary)
+                votes.update({(True, o): 1 for o in own if o not in ordinary.ordinary})
+                votes.update({(False, o): 1 if plain else -1 for o in discussed})
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in votes], pa.bool_()), pa.array([o for _, o in votes], pa.string()), pa.array(votes.values(), pa.int64())], ["page", "opening", "n"])
+
+    votes = cut.where("instr(status, '1') > 0").mapInArrow(told, "page boolean, opening string, n bigint").groupBy("page", "opening").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    by = {p: frozenset(o for o, q in zip(votes.column(1).to_pylist(), votes.column(0).to_pylist()) if q is p) for p in (True, False)}
+    return Openings(ordinary.ordinary, by[False], by[True])
+
+
+def _labelled(cut: DataFrame, o: Openings) -> DataFrame:
+    """What ``_rows`` gives, of all texts: (a, b, begins, KINDS, part, times)."""
+    told = cut.sparkSession.sparkContext.broadcast(o)
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = Counter((p, j == 0, *y) for parts, ss, cue in _lists(b) for j, (p, y) in enumerate(zip(parts, _labels(parts, ss, cue, told.value))))
+            columns = list(zip(*same)) or [()] * (2 + len(KINDS))
+            kinds = [pa.string(), pa.bool_(), *[pa.int8()] * len(KINDS)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([_but_for_digits(p) for p in columns[0]], pa.string()), pa.array(same.values(), pa.int64())], ["part", "begins", *KINDS, "even", "times"])
+
+    schema = f"part string, begins boolean, {', '.join(f'{k} tinyint' for k in KINDS)}, even string, times bigint"
+    each = cut.mapInArrow(labels, schema).withColumn("a", F.xxhash64("even")).withColumn("b", F.xxhash64(F.lit(1), "even"))
+    return each.groupBy("a", "b", "begins", *KINDS).agg(F.min("part").alias("part"), F.sum("times").alias("times"))
+
+
+@contextmanager
+def labelled_rows(documents: DataFrame, unseen: int | None = None) -> Iterator[tuple[np.ndarray, RDD]]:
+    """Distinct segments of all texts (but for digits) with their weak labels and how often they stand, kept while in use.
+
+    Given are their sums, and an RDD of ``Rows`` with a shard in each partition. How many shards there are depends on the
+    number of segments alone, not on the cluster.
+    """
+    cut = _cut(_counted(documents, unseen)).persist(StorageLevel.DISK_ONLY)
+    each = _labelled(cut, _openings(cut)).persist(StorageLevel.DISK_ONLY)
+    n, *sums = each.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(F.when(F.col(k) == v, F.col("times"))), F.lit(0)) for v in (0, 1) for k in KINDS)).first()
+    cut.unpersist()
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = featurize(b.column(0).to_pylist(), b.column(1).to_pylist())
+            ys = np.stack([b.column(2 + k).to_numpy() for k in range(len(KINDS))], 1)
+            rows = Rows(s, ys[s.owner], b.column(2 + len(KINDS)).to_numpy()[s.owner].astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(rows)], pa.binary())], ["rows"])
+
+    shards = each.repartition(max(1, -(-n // SHARD)), "a").sortWithinPartitions("a", "b", "begins", *KINDS)
+    rows = shards.select("part", "begins", *KINDS, "times").mapInArrow(features, "rows binary").rdd.map(lambda x: pickle.loads(x[0])).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield np.array(sums, float).reshape(2, len(KINDS)), rows
+    finally:
+        rows.unpersist()
+        each.unpersist()
+
+
+def fit(documents: DataFrame, unseen: int | None = None) -> Model:
+    """The model trained on the weak labels of all ``documents``."""
+    with labelled_rows(documents, unseen) as (sums, rows):
+
+        def trained(x: np.ndarray, seen: np.ndarray, up: np.ndarray, turn: int) -> np.ndarray:
+            at = rows.context.broadcast((x, seen, up, turn))
+
+            def shard(blocks: Iterator[Rows]) -> Iterator[np.ndarray]:
+                held = list(blocks)
+                yield Rows.joined(held).trained(*at.value) if held else np.zeros((2, *at.value[0].shape))
+
+            try:
+                return rows.mapPartitions(shard).treeReduce(np.add)
+            finally:
+                at.unpersist()
+
+        return solve(sums, trained)
 
 
 #: Probability from which a segment is residue; probability that share of a page's text must have beside one such piece.
@@ -453,18 +661,13 @@ def residue(documents: DataFrame, key: str = "doc_id", model: Model | None = Non
     return spread(documents.select(key, "text").where("text is not null"), 1).mapInArrow(run, f"{key} {kind}, placeholder boolean, filler boolean, page boolean")
 
 
-def validate(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(kind, n_segments, n_weak, precision, recall) on hosts that training left out.
+def validate(documents: DataFrame) -> DataFrame:
+    """(kind, n_segments, n_weak, precision, recall) on all documents of hosts that training left out.
 
     Precision and recall are those of the classifier against the weak labels.
     """
-    model = fit(documents, sample, unseen=0)
-    s, labels, times = _rows(training_documents(documents, sample, unseen=1))
-    rows = []
-    scores = model.scores(s)
-    for k, kind in enumerate(KINDS):
-        y, hit = labels[:, k], scores[:, k] > THRESHOLDS[k]
-        known = y >= 0
-        both, said, true = (int(times[x].sum()) for x in (hit & (y == 1), hit & known, y == 1))
-        rows.append((kind, int(times[known].sum()), true, both / said if said else None, both / true if true else None))
-    return documents.sparkSession.createDataFrame(rows, "kind string, n_segments bigint, n_weak bigint, precision double, recall double")
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, unseen=0))
+    with labelled_rows(documents, unseen=1) as (_, rows):
+        counts = rows.treeAggregate(np.zeros((4, len(KINDS))), lambda so_far, r: so_far + r.held_against(model.value), lambda p, q: p + q)
+    out = [(kind, known, true, both / said if said else None, both / true if true else None) for kind, (known, true, said, both) in zip(KINDS, counts.T.astype(int).tolist())]
+    return documents.sparkSession.createDataFrame(out, "kind string, n_segments bigint, n_weak bigint, precision double, recall double")
